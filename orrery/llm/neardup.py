@@ -1,14 +1,14 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
 Each whole text becomes a set of hashed word shingles.  Equal sets are one class from then on, its
-smallest id stands for it.  A class keeps the smallest values of its set: a bottom-k sketch, and,
-by residue of the hash, the few smallest values of 16 strata.  The values of a stratum together
-key an inverted list; sets of few shingles use their prefix instead (the ceil(0.15 n) + 1 smallest
-values, of which two similar sets always share one), and sizes near the border use both.
+smallest id stands for it.  A class keeps the smallest values of its set, by strata of the hash: the
+three smallest of 16 strata, which together key an inverted list each, and a byte of the smallest
+of 512 strata as a sketch.  Sets of few shingles use their prefix as keys instead (the 0.15 n + 1
+smallest values, of which two similar sets always share one); sizes near the border use both.
 
 A short list compares all its members.  A long list compares every member with its first and its
-last.  Candidates are filtered by the Jaccard estimate of the bottom-k sketch of their union and
-confirmed on full sets.  Long lists that then hold several components are compared in square
+last.  Candidates are filtered by the Jaccard estimate of their union's sketch, five standard errors
+below the threshold, and confirmed on full sets.  Long lists that then hold several components are compared in square
 blocks, so that no link inside them is lost; no list is ever gathered in one task or spelled out in
 pairs.  Components come from alternating large-star and small-star steps.
 
@@ -21,14 +21,13 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-STRATA, DEPTH = 16, 3
+STRATA, DEPTH, BINS = 16, 3, 512
 
 
 _own_folder = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
@@ -92,8 +91,25 @@ def list_keys(s: np.ndarray, percent: int = 85, few: int = 100) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 85, k: int = 48) -> DataFrame:
-    """(id, n, d1, d2, keys, sketch): set size, 128-bit digest of the set, list keys and the k smallest values."""
+def sketch(s: np.ndarray) -> bytes:
+    """By residue modulo BINS, a byte (1 to 255) of the smallest value; 0: no value."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique(s & np.uint64(BINS - 1), return_index=True)  # s is sorted: the first is the smallest
+    out[bins.astype(np.int64)] = (s[first] >> np.uint64(12)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def plausible(same: np.ndarray, filled: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the share of equal bins among the union's filled bins allows the link: at most five standard
+    errors (of a draw without replacement from the union) below the threshold."""
+    j = percent / 100
+    union = np.maximum(sizes / (1 + j), 1)
+    error = np.sqrt(j * (1 - j) / np.maximum(filled, 1) * np.clip(1 - filled / union, 0, 1))
+    return same >= filled * (j - 5 * error - 0.01) - 1
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 85) -> DataFrame:
+    """(id, n, d1, d2, keys, sketch): set size, 128-bit digest of the set, list keys and sketch."""
 
     def run(batches):
         shingles = Shingles(width)
@@ -102,12 +118,12 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent:
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 digest = xxhash.xxh128_digest(s.tobytes())
-                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), list_keys(s, percent).view(np.int64), s[:k].view(np.int64)))
+                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), list_keys(s, percent).view(np.int64), sketch(s)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.int64())} | {n: pa.array(c, t) for n, c, t in zip(("n", "d1", "d2", "keys", "sketch"), cols, kinds, strict=True)})
 
-    return df.select(id_col, text_col).mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>, sketch array<long>")
+    return df.select(id_col, text_col).mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>, sketch binary")
 
 
 def candidate_pairs(postings: DataFrame, lists: DataFrame, short: int) -> DataFrame:
@@ -119,15 +135,19 @@ def candidate_pairs(postings: DataFrame, lists: DataFrame, short: int) -> DataFr
     return within.unionByName(star).distinct()
 
 
-def estimated(pairs: DataFrame, reps: DataFrame, least: float, percent: int, k: int) -> DataFrame:
-    """Pairs whose sizes allow the link and whose union sketch estimates a Jaccard index of `least` or more."""
+def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and union sketch allow the link."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    # the sketches hold unsigned values in signed columns; flipping the top bit restores their order
-    flip = lambda c: F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
-    union = F.slice(F.array_sort(F.array_union(flip("sa"), flip("sb"))), 1, k)
-    common = F.size(F.array_intersect(union, F.array_intersect(flip("sa"), flip("sb"))))
-    return both.where(common >= F.size(union) * least).select("a", "b")
+
+    def run(batches):
+        for batch in batches:
+            sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (3, 4))
+            same, filled = ((sa == sb) & (sa > 0)).sum(1), ((sa > 0) | (sb > 0)).sum(1)
+            keep = plausible(same, filled, batch.column(2).to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -170,56 +190,62 @@ def components(edges: DataFrame) -> DataFrame:
     return state.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
 
 
-def block_pairs(members: DataFrame, least: float, percent: int, block: int = 256) -> DataFrame:
+def block_pairs(members: DataFrame, percent: int, block: int = 256) -> DataFrame:
     """Pairs of different components inside long lists that pass the sketch filter, found block against block.
 
-    members: (key, id, root, n, sketch, len).  A list of m members makes (m / block)^2 / 2 squares; each
-    row goes to m / block of them, and a square returns only the pairs that pass."""
+    members: (key, len, id, root, n, sketch, open), where open holds all keys of the id's open lists; a pair
+    comes from the smallest key that both have.  A list of m members makes (m / block)^2 / 2 squares; each row
+    goes to m / block of them, and a square returns only the pairs that pass."""
     count = F.ceil(F.col("len") / block).cast("int")
     cell = F.pmod(F.xxhash64("id"), count.cast("long")).cast("int")
     squares = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.least(j, cell).alias("r"), F.greatest(j, cell).alias("c")))
-    dealt = members.withColumn("cell", cell).withColumn("square", F.explode(squares)).select("key", "square.r", "square.c", "cell", "id", "root", "n", "sketch")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["r"].iat[0], pdf["c"].iat[0]
-        rows = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["sketch"]]
-        ids, roots, sizes, cells = (pdf[x].to_numpy() for x in ("id", "root", "n", "cell"))
-        values, place = np.unique(np.concatenate(rows), return_inverse=True)
-        owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    dealt = members.withColumn("cell", cell).withColumn("square", F.explode(squares)).select("key", "square.r", "square.c", "cell", "id", "root", "n", "sketch", "open")
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, r, c = (table[x][0].as_py() for x in ("key", "r", "c"))
+        ids, roots, sizes, cells = (table[x].to_numpy() for x in ("id", "root", "n", "cell"))
+        sigs = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+        full = (sigs > 0).astype(np.float32)
+        opens = table["open"].to_pylist()
+        left, right = (np.flatnonzero(cells == r), np.flatnonzero(cells == c))
+        both = full[left] @ full[right].T
+        per = full.sum(1)
         out_a, out_b = [], []
-        hot = np.zeros((len(rows), len(values)), np.float32) if len(rows) * len(values) < 20_000_000 else None
-        if hot is not None:
-            hot[owner, place] = 1
-            near = hot @ hot.T
-        for i in range(len(rows)):
-            other = (roots != roots[i]) & (ids > ids[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent) & ((cells != cells[i]) if r != c else True)
-            if hot is not None:
-                other &= near[i] >= least / 2 * min(len(rows[i]), 1 << 30)
-            for j in np.flatnonzero(other):
-                union = np.union1d(rows[i], rows[j])[: max(len(rows[i]), len(rows[j]))]
-                both = np.intersect1d(rows[i], rows[j], assume_unique=True)
-                if np.isin(union, both, assume_unique=True).sum() >= least * len(union):
-                    out_a.append(ids[i]), out_b.append(ids[j])
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-    return dealt.groupBy("key", "r", "c").applyInPandas(compare, "a long, b long").distinct()
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, k: int = 48, short: int = 8, least: float = 0.55) -> DataFrame:
+        for k, i in enumerate(left):
+            n, m = sizes[i], sizes[right]
+            maybe = (roots[right] != roots[i]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+            if r == c:
+                maybe &= ids[right] > ids[i]
+            at = np.flatnonzero(maybe)
+            if not len(at):
+                continue
+            j = right[at]
+            same = ((sigs[j] == sigs[i]) & (sigs[i] > 0)).sum(1)
+            for x in j[plausible(same, per[i] + per[j] - both[k, at], sizes[i] + sizes[j], percent)]:
+                if min(set(opens[i]).intersection(opens[x])) == key:
+                    out_a.append(min(ids[i], ids[x])), out_b.append(max(ids[i], ids[x]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return dealt.groupBy("key", "r", "c").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, short: int = 8) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row."""
-    base = written(sketches(df, id_col, text_col, width, percent, k))
+    base = written(sketches(df, id_col, text_col, width, percent))
     classes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     reps = written(base.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "d1", "d2"]))
     postings = reps.select("id", F.explode("keys").alias("key"))
     lists = written(postings.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("len")).where("len > 1"))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = written(estimated(candidate_pairs(postings, lists, short), reps, least, percent, k))
+    pairs = written(estimated(candidate_pairs(postings, lists, short), reps, percent))
     edges = written(confirmed(pairs, texts, width, percent))
     roots = components(edges)
     long = lists.where(F.col("len") > short).select("key", "len")
     labelled = postings.join(long, "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_lists = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = written(block_pairs(labelled.join(open_lists, "key").join(reps.select("id", "n", "sketch"), "id"), least, percent).join(pairs, ["a", "b"], "left_anti"))
+    opened = written(labelled.join(open_lists, "key"))
+    per_id = reps.select("id", "n", "sketch").join(opened.groupBy("id").agg(F.collect_list("key").alias("open")), "id")
+    left = written(block_pairs(opened.join(per_id, "id"), percent).join(pairs, ["a", "b"], "left_anti"))
     if not left.isEmpty():
         edges = edges.unionByName(written(confirmed(left, texts, width, percent)))
         roots = components(edges)
