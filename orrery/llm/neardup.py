@@ -153,7 +153,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = written(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    needed = written(texts.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     first = pairs.join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = first.join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
