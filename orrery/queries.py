@@ -1,9 +1,349 @@
-"""Queries of the engine and their SQL."""
+"""Queries of the engine over the driver's tables, and the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .estimators import Classifier, Regressor
+from .functions import metrics as M
+from .functions import objectives as O
+from .operators import eras as E
+from .operators import tree as T
+from .sources.tables import read
+
+Q, S = {}, {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        Q[f.__name__] = f
+        if sql:
+            S[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    o, c = read(spark, d, "orders"), read(spark, d, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").cast("long").alias("row_id"), F.date_format("o_orderdate", "yyyy-MM").alias("era"), F.col("o_totalprice").alias("x"), F.col("c_acctbal").alias("y"), F.col("o_orderpriority").alias("cat"), F.col("o_custkey").cast("long").alias("cust"), (F.col("o_orderstatus") == "F").cast("int").alias("event"), F.datediff("o_orderdate", F.lit("1990-01-01")).alias("days"))
+
+
+P = """p AS (SELECT CAST(o_orderkey AS BIGINT) AS row_id, strftime(o_orderdate, '%Y-%m') AS era, o_totalprice AS x, c_acctbal AS y, o_orderpriority AS cat, CAST(o_custkey AS BIGINT) AS cust,
+ CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS event, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS days FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+FEATURES = ["l_quantity", "l_discount", "l_tax"]
+#: Bins of the split queries: fixed edges, so that both engines cut alike.
+EDGES = {"l_quantity": [5.5, 10.5, 15.5, 20.5, 25.5, 30.5, 35.5, 40.5, 45.5], "l_discount": [0.015, 0.035, 0.055, 0.075], "l_tax": [0.015, 0.035, 0.055]}
+_CELL = {f: " + ".join(f"CAST({f} >= {e} AS INT)" for e in edges) for f, edges in EDGES.items()}
+B = f"""m AS (SELECT avg(l_extendedprice) AS mean FROM lineitem),
+b AS (SELECT m.mean - l_extendedprice AS g, [{', '.join(_CELL[f] for f in FEATURES)}] AS bins FROM lineitem, m),
+r AS (SELECT g, unnest(bins) AS bin, unnest([0, 1, 2]) AS feature FROM b),
+hist AS (SELECT feature, bin, sum(g) AS g, CAST(count(*) AS DOUBLE) AS h, count(*) AS c FROM r GROUP BY 1, 2)"""
+
+
+def binned(spark, d):
+    li = read(spark, d, "lineitem")
+    mean = li.agg(F.avg("l_extendedprice").alias("mean"))
+    bins = F.array(*[T.digitize(F.col(f), EDGES[f], 255) for f in FEATURES])
+    return li.select(*FEATURES, "l_extendedprice").crossJoin(F.broadcast(mean)).select((F.col("mean") - F.col("l_extendedprice")).alias("g"), F.lit(1.0).alias("h"), bins.alias("bins"))
+
+
+@query("""SELECT 'l_quantity' AS feature, k AS rank, round(quantile_cont(l_quantity, k / 8.0), 6) AS edge FROM lineitem, range(1, 8) t(k) GROUP BY k""".replace("quantile_cont(l_quantity, k / 8.0)", "CASE k " + " ".join(f"WHEN {k} THEN quantile_cont(l_quantity, {k / 8})" for k in range(1, 8)) + " END"))
+def bin_edges(spark, d):
+    ranks = [k / 8 for k in range(1, 8)]
+    return read(spark, d, "lineitem").agg(F.percentile("l_quantity", ranks).alias("q")).select(F.lit("l_quantity").alias("feature"), F.posexplode("q").alias("pos", "edge")).select("feature", (F.col("pos") + 1).cast("long").alias("rank"), F.round("edge", 6).alias("edge"))
+
+
+@query(f"WITH {B} SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, count(*) AS c FROM r GROUP BY 1, 2")
+def bin_digitize(spark, d):
+    return binned(spark, d).select(F.posexplode("bins").alias("feature", "bin")).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("c"))
+
+
+@query(f"WITH {B} SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(g, 2) AS g, h, c FROM hist")
+def grad_histogram(spark, d):
+    return rounded(T.histogram(binned(spark, d), "bins", []), "g", digits=2)
+
+
+GAINS = B + """, s AS (SELECT feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(c) OVER w AS cl, sum(g) OVER v AS gt, sum(h) OVER v AS ht FROM hist
+ WINDOW w AS (PARTITION BY feature ORDER BY bin ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY feature)),
+gains AS (SELECT feature, bin, cl, gl, hl, gt, ht, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM s WHERE hl >= 1 AND ht - hl >= 1)"""
+
+
+def _gains(spark, d):
+    return T.split_gains(T.histogram(binned(spark, d), "bins", []), [], 255).where("nan_dir = 0")
+
+
+@query(f"WITH {GAINS} SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(gain / 1e6, 4) AS gain_m, CAST(cl AS BIGINT) AS n_left FROM gains ORDER BY gain DESC, feature, bin LIMIT 3")
+def best_split(spark, d):
+    top = _gains(spark, d).orderBy(F.desc("gain"), "feature", "bin").limit(3)
+    return top.select("feature", "bin", F.round(F.col("gain") / 1e6, 4).alias("gain_m"), F.col("cl").alias("n_left"))
+
+
+@query(f"WITH {GAINS} SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(-gl / (hl + 1), 4) AS left_value, round(-(gt - gl) / (ht - hl + 1), 4) AS right_value FROM gains")
+def node_leaf_values(spark, d):
+    h = _gains(spark, d)
+    total = T.histogram(binned(spark, d), "bins", []).groupBy("feature").agg(F.sum("g").alias("gt"), F.sum("h").alias("ht"))
+    return h.join(F.broadcast(total), "feature").select("feature", "bin", F.round(T.leaf_value(F.col("gl"), F.col("hl"), 1.0), 4).alias("left_value"), F.round(T.leaf_value(F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl"), 1.0), 4).alias("right_value"))
+
+
+def _order_bins(spark, d):
+    o = orders(spark, d)
+    mean = o.agg(F.avg("y").alias("m"))
+    return o.crossJoin(F.broadcast(mean)).select("era", (F.col("m") - F.col("y")).alias("g"), F.lit(1.0).alias("h"), F.array(F.least(F.floor(F.col("x") / 100000), F.lit(4)).cast("int"), F.pmod("row_id", F.lit(4)).cast("int")).alias("bins"))
+
+
+OB = P + """, om AS (SELECT avg(y) AS m FROM p), ob AS (SELECT era, m - y AS g, unnest([CAST(least(floor(x / 100000), 4) AS INT), CAST(row_id % 4 AS INT)]) AS bin, unnest([0, 1]) AS feature FROM p, om),
+eh AS (SELECT era, feature, bin, sum(g) AS g, CAST(count(*) AS DOUBLE) AS h, count(*) AS c FROM ob GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {OB} SELECT era, CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(g, 4) AS g, h, c FROM eh")
+def era_histogram(spark, d):
+    return rounded(T.histogram(_order_bins(spark, d), "bins", ["era"]), "g", digits=4)
+
+
+@query(f"""WITH {OB}, cells AS (SELECT DISTINCT feature, bin FROM eh), es AS (SELECT DISTINCT era FROM eh),
+f AS (SELECT es.era, cells.feature, cells.bin, coalesce(g, 0) AS g, coalesce(h, 0) AS h FROM es CROSS JOIN cells LEFT JOIN eh ON eh.era = es.era AND eh.feature = cells.feature AND eh.bin = cells.bin),
+s AS (SELECT era, feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER v AS gt, sum(h) OVER v AS ht FROM f WINDOW w AS (PARTITION BY era, feature ORDER BY bin ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY era, feature)),
+t AS (SELECT feature, bin, CASE WHEN hl > 1e-6 THEN -gl / (hl + 1) END AS l, CASE WHEN ht - hl > 1e-6 THEN -(gt - gl) / (ht - hl + 1) END AS r FROM s)
+SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(coalesce(var_pop(l), 0) + coalesce(var_pop(r), 0), 3) AS penalty FROM t GROUP BY 1, 2""")
+def era_split_penalty(spark, d):
+    return rounded(T.era_penalty(T.histogram(_order_bins(spark, d), "bins", ["era"])), "penalty", digits=3)
+
+
+@query(f"WITH {P}, m AS (SELECT avg(y) AS mean FROM p) SELECT row_id, round((coalesce(sum(y) OVER w, 0) + mean * 10) / (count(y) OVER w + 10), 6) AS encoded FROM p, m WINDOW w AS (PARTITION BY cat ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def target_encode_ordered(spark, d):
+    return rounded(T.ordered_target(orders(spark, d), "cat", "y", "row_id").select("row_id", "encoded"), "encoded")
+
+
+@query(f"WITH {P}, m AS (SELECT avg(y) AS mean FROM p) SELECT cat, round((sum(y) + any_value(mean) * 10) / (count(*) + 10), 6) AS encoded FROM p, m GROUP BY cat")
+def target_encode_lookup(spark, d):
+    return rounded(T.target_table(orders(spark, d), "cat", "y"), "encoded")
+
+
+RHO = P + """, k AS (SELECT era, CAST(row_number() OVER (PARTITION BY era ORDER BY x, row_id) AS DOUBLE) AS rx, CAST(row_number() OVER (PARTITION BY era ORDER BY y, row_id) AS DOUBLE) AS ry FROM p),
+rho AS (SELECT era, count(*) AS n, CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 0 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) ELSE 0 END AS rho FROM k GROUP BY era)"""
+
+
+def _rhos(spark, d):
+    return E.era_spearman(orders(spark, d), "era", "x", "y", "row_id")
+
+
+@query(f"WITH {RHO} SELECT era, n, round(rho, 6) AS rho FROM rho")
+def era_spearman(spark, d):
+    return rounded(_rhos(spark, d), "rho")
+
+
+@query(f"WITH {RHO} SELECT round(avg(rho), 6) AS mean_corr, round(stddev_pop(rho), 6) AS std_corr, round(avg(rho) / (stddev_pop(rho) + 1e-9), 6) AS sharpe, arg_min(era, rho) AS worst_era FROM rho WHERE n >= 2")
+def era_sharpe(spark, d):
+    return rounded(E.era_sharpe(_rhos(spark, d)), "mean_corr", "std_corr", "sharpe")
+
+
+def _weights_sql(raw: str) -> str:
+    return f"WITH {RHO}, st AS (SELECT avg(rho) AS mu, stddev_pop(rho) + 1e-9 AS sd, count(*) AS k, sum(n) AS t FROM rho), e AS (SELECT era, n, t, {raw} AS w FROM rho, st), z AS (SELECT era, n, t, w / sum(w) OVER () AS w FROM e) SELECT era, round(w, 6) AS weight, round(w * t / n, 6) AS row_weight FROM z"
+
+
+def _weights(method):
+    return lambda spark, d: rounded(E.era_weights(_rhos(spark, d), method), "weight", "row_weight")
+
+
+for _name, _method, _raw in (("era_weights_hard", "hard_era", "exp(-rho)"), ("era_weights_sharpe", "sharpe_reweight", "exp(1 / (k * sd) - mu * (rho - mu) / (k * sd * sd * sd))"), ("era_weights_prop", "proportional", "greatest(1 - abs(rho), 1e-6)")):
+    Q[_name], S[_name] = _weights(_method), _weights_sql(_raw)
+
+
+@query(f"WITH {P} SELECT row_id, round(2.0 * (row_number() OVER (PARTITION BY era ORDER BY x, row_id) - 1) / greatest(count(*) OVER (PARTITION BY era) - 1, 1) - 1, 6) AS normed FROM p")
+def rank_normalize(spark, d):
+    return rounded(E.rank_normalize(orders(spark, d), "x", "row_id", "era").select("row_id", "normed"), "normed")
+
+
+@query(f"""WITH {P}, m AS (SELECT era, median(y) AS m, count(*) AS n FROM p GROUP BY era), s AS (SELECT era, median(abs(y - m)) AS mad, any_value(n) AS n FROM p JOIN m USING (era) GROUP BY era)
+SELECT row_id, round(CASE WHEN n < 2 THEN y ELSE sign(y) * least(abs(y), mad * 1.5) END, 6) AS clipped FROM p JOIN s USING (era)""")
+def mad_clip(spark, d):
+    return rounded(E.mad_clip(orders(spark, d), "era", "y", 1.5).select("row_id", "clipped"), "clipped")
+
+
+@query(f"WITH {P} SELECT row_id, round(0.2 * (2 * y - coalesce(lag(y) OVER w, y) - coalesce(lead(y) OVER w, y)), 6) AS tgrad FROM p WINDOW w AS (PARTITION BY cust ORDER BY row_id)")
+def temporal_gradient(spark, d):
+    return rounded(E.temporal_gradient(orders(spark, d), "row_id", "y", 0.1, ["cust"]).select("row_id", "tgrad"), "tgrad")
+
+
+@query(f"WITH {P} SELECT round(covar_pop(x, y) / ((stddev_pop(x) + 1e-9) * (stddev_pop(y) + 1e-9)), 6) AS exposure_y, round(covar_pop(x, days) / ((stddev_pop(x) + 1e-9) * (stddev_pop(days) + 1e-9)), 6) AS exposure_days FROM p")
+def exposure(spark, d):
+    return rounded(E.exposure(orders(spark, d), "x", ["y", "days"]), "exposure_y", "exposure_days")
+
+
+@query(f"WITH {P} SELECT era, round(coalesce(covar_pop(x, y) / ((stddev_pop(x) + 1e-9) * (stddev_pop(y) + 1e-9)), 0), 6) AS exposure_y FROM p GROUP BY era")
+def exposure_per_era(spark, d):
+    return rounded(E.exposure(orders(spark, d), "x", ["y"], ["era"]), "exposure_y")
+
+
+@query(f"""WITH {P}, g AS (SELECT sum(y * y) + 1e-8 AS a, sum(y * days) AS b, sum(days * days) + 1e-8 AS c, sum(y * x) AS u, sum(days * x) AS v FROM p),
+w AS (SELECT (c * u - b * v) / (a * c - b * b) AS b0, (a * v - b * u) / (a * c - b * b) AS b1 FROM g) SELECT row_id, round(x - b0 * y - b1 * days, 3) AS neutral FROM p, w""")
+def neutralize(spark, d):
+    return rounded(E.neutralize(orders(spark, d), "x", ["y", "days"]).select("row_id", "neutral"), "neutral", digits=3)
+
+
+@query(f"""WITH {P}, g AS (SELECT era, count(*) AS n, sum(y * x) / (sum(y * y) + 1e-8) AS b FROM p GROUP BY era) SELECT row_id, round(x - CASE WHEN n > 1 THEN b ELSE 0 END * y, 3) AS neutral FROM p JOIN g USING (era)""")
+def neutralize_per_era(spark, d):
+    return rounded(E.neutralize_by_era(orders(spark, d), "era", "row_id", "x", ["y"]), "neutral", digits=3)
+
+
+def _predicted(spark, d):
+    o = orders(spark, d)
+    return o.join(F.broadcast(o.groupBy("cat").agg(F.avg("x").alias("pred"))), "cat")
+
+
+PRED = P + ", c AS (SELECT cat, avg(x) AS pred FROM p GROUP BY cat), v AS (SELECT p.*, pred FROM p JOIN c USING (cat))"
+
+
+@query(f"WITH {PRED}, k AS (SELECT count(*) AS n, list_sort(list(abs(x - pred))) AS r FROM v), a AS (SELECT n, r, least(ceil((n + 1) * 0.9) / n, 1.0) * (n - 1) AS t FROM k) SELECT n, round(r[CAST(floor(t) AS INT) + 1] + (r[CAST(least(floor(t) + 1, n - 1) AS INT) + 1] - r[CAST(floor(t) AS INT) + 1]) * (t - floor(t)), 3) AS q FROM a")
+def conformal_q(spark, d):
+    return rounded(E.conformal(_predicted(spark, d), "x", "pred", 0.1), "q", digits=3)
+
+
+ERAQ = PRED + """, k AS (SELECT era, count(*) AS n, list_sort(list(abs(x - pred))) AS r FROM v GROUP BY era HAVING count(*) >= 20), a AS (SELECT era, n, r, least(ceil((n + 1) * 0.9) / n, 1.0) * (n - 1) AS t FROM k),
+eq AS (SELECT era, n, r[CAST(floor(t) AS INT) + 1] + (r[CAST(least(floor(t) + 1, n - 1) AS INT) + 1] - r[CAST(floor(t) AS INT) + 1]) * (t - floor(t)) AS q FROM a)"""
+
+
+@query(f"WITH {ERAQ} SELECT era, n, round(q, 3) AS q FROM eq")
+def conformal_era_q(spark, d):
+    return rounded(E.conformal(_predicted(spark, d), "x", "pred", 0.1, ["era"]), "q", digits=3)
+
+
+@query(f"WITH {ERAQ} SELECT v.era, count(*) AS n, round(avg(CASE WHEN abs(x - pred) <= coalesce(q, 1e5) THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM v LEFT JOIN eq ON eq.era = v.era GROUP BY 1")
+def conformal_coverage(spark, d):
+    v = _predicted(spark, d)
+    q = E.conformal(v, "x", "pred", 0.1, ["era"]).select("era", "q")
+    inside = F.abs(F.col("x") - F.col("pred")) <= F.coalesce("q", F.lit(1e5))
+    return rounded(v.join(F.broadcast(q), "era", "left").groupBy("era").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(inside, 1.0).otherwise(0.0)).alias("coverage")), "coverage")
+
+
+DAYS = "daily AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, sum(value) AS v FROM events GROUP BY 1)"
+
+
+def _daily(spark, d):
+    return read(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+
+
+@query(f"WITH {DAYS}, r AS (SELECT day, CASE WHEN row_number() OVER (ORDER BY day) >= 5 THEN stddev_pop(v) OVER (ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS vol FROM daily) SELECT CAST(day AS VARCHAR) AS day, round(vol, 4) AS vol, CAST(CASE WHEN vol > 1000 THEN 1 ELSE 0 END + CASE WHEN vol > 2000 THEN 1 ELSE 0 END AS INT) AS regime FROM r")
+def rolling_regimes(spark, d):
+    return rounded(E.regimes(E.rolling_std(_daily(spark, d), "day", "v", 5), [1000.0, 2000.0]).select(F.col("day").cast("string").alias("day"), "vol", "regime"), "vol", digits=4)
+
+
+@query(f"WITH {DAYS}, k AS (SELECT day, v, max(v) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak FROM daily) SELECT round(max((peak - v) / CASE WHEN peak > 0 THEN peak ELSE 1 END), 6) AS max_drawdown FROM k")
+def drawdown(spark, d):
+    return rounded(E.drawdown(_daily(spark, d), "day", "v"), "max_drawdown")
+
+
+@query(f"WITH {DAYS} SELECT round(avg(v) / stddev_pop(v) * sqrt(252), 6) AS sharpe FROM daily")
+def sharpe_ratio(spark, d):
+    return rounded(_daily(spark, d).agg(M.sharpe("v").alias("sharpe")), "sharpe")
+
+
+@query("WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts) - 1 AS rn, count(*) OVER () // 5 AS size FROM events) SELECT CAST(event_id AS BIGINT) AS event_id, CAST(rn AS BIGINT) AS rn, CASE WHEN rn < size * 5 THEN CAST(rn // size AS BIGINT) END AS fold FROM n")
+def purged_folds(spark, d):
+    return E.purged_folds(read(spark, d, "events").select("event_id", "ts"), "ts", 5, 10).select(F.col("event_id").cast("long").alias("event_id"), "rn", "fold")
+
+
+@query(f"WITH {PRED} SELECT round(sqrt(avg((x - pred) * (x - pred))), 3) AS rmse, round(avg(abs(x - pred)), 3) AS mae, round(1 - sum((x - pred) * (x - pred)) / (var_pop(x) * count(*)), 6) AS r2, round(avg(CASE WHEN x >= pred THEN 0.9 * (x - pred) ELSE -0.1 * (x - pred) END), 3) AS pinball FROM v")
+def metric_regression(spark, d):
+    x, p = F.col("x"), F.col("pred")
+    out = _predicted(spark, d).agg(M.rmse(x, p).alias("rmse"), M.mae(x, p).alias("mae"), M.r2(x, p).alias("r2"), M.pinball(x, p, 0.9).alias("pinball"))
+    return rounded(rounded(out, "rmse", "mae", "pinball", digits=3), "r2")
+
+
+def _labelled(spark, d):
+    j = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return j.select("doc_id", F.col("quality").cast("double").alias("y"), (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("p"))
+
+
+LAB = "j AS (SELECT doc_id, CAST(quality AS DOUBLE) AS y, n_chars / (n_chars + 1000.0) AS p FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"WITH {LAB} SELECT round(-avg(y * ln(greatest(least(p, 1 - 1e-7), 1e-7)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-7), 1e-7))), 6) AS logloss, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM j")
+def metric_classification(spark, d):
+    y, p = F.col("y"), F.col("p")
+    return rounded(_labelled(spark, d).agg(M.logloss(y, p).alias("logloss"), M.accuracy(y, p).alias("accuracy")), "logloss", "accuracy")
+
+
+@query(f"WITH {LAB} SELECT round(avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END), 6) AS auc FROM j a, j b WHERE a.y = 1 AND b.y = 0")
+def metric_auc(spark, d):
+    return rounded(M.auc(_labelled(spark, d), "y", "p", "doc_id"), "auc")
+
+
+@query(f"""WITH {P}, k AS (SELECT cust, pow(2.0, CAST(substr(cat, 1, 1) AS INT)) - 1 AS g, row_number() OVER (PARTITION BY cust ORDER BY x DESC, row_id) AS i, row_number() OVER (PARTITION BY cust ORDER BY CAST(substr(cat, 1, 1) AS INT) DESC, row_id) AS j FROM p)
+SELECT cust, round(sum(CASE WHEN i <= 5 THEN g / log2(i + 1) ELSE 0 END) / sum(CASE WHEN j <= 5 THEN g / log2(j + 1) ELSE 0 END), 6) AS ndcg FROM k GROUP BY cust""")
+def metric_ndcg(spark, d):
+    o = orders(spark, d).withColumn("rel", F.substring("cat", 1, 1).cast("int"))
+    return rounded(M.ndcg(o, "cust", "rel", "x", "row_id", 5), "ndcg")
+
+
+CIDX = "s AS (SELECT days AS t, event AS e, floor(y / 500) AS r FROM p)"
+
+
+@query(f"WITH {P}, {CIDX}, c AS (SELECT t, e, r, count(*) AS n FROM s GROUP BY 1, 2, 3) SELECT round(sum(CASE WHEN a.r > b.r THEN 1.0 WHEN a.r = b.r THEN 0.5 ELSE 0.0 END * a.n * b.n) / sum(a.n * b.n), 6) AS c_index FROM c a JOIN c b ON b.t > a.t WHERE a.e = 1")
+def metric_cindex(spark, d):
+    return rounded(M.concordance(orders(spark, d).select("days", "event", F.floor(F.col("y") / 500).alias("r")), "days", "event", "r"), "c_index")
+
+
+@query(f"""WITH {PRED}, k AS (SELECT row_id, y / 1000 AS t, x / 100000 AS s, event AS b FROM v), u AS (SELECT *, s - t AS e, 1 / (1 + exp(-s)) AS sg FROM k)
+SELECT row_id, round(e, 6) AS g_mse, round(sign(e), 6) AS g_mae, round(greatest(least(e, 1), -1), 6) AS g_huber, round(CASE WHEN abs(e) <= 1 THEN 1 ELSE 1 / (abs(e) + 1e-8) END, 6) AS h_huber, round(CASE WHEN e <= 1 THEN e ELSE 2 END, 6) AS g_asymmetric_huber,
+round(sg - b, 6) AS g_binary_logloss, round(greatest(sg * (1 - sg), 1e-7), 6) AS h_binary_logloss, round(CASE WHEN t < s THEN 0.5 ELSE -0.5 END, 6) AS g_quantile, round(-(1 - CASE WHEN t < s THEN 2.0 ELSE 0 END), 6) AS g_cvar FROM u""")
+def grad_rowwise(spark, d):
+    o = _predicted(spark, d).select("row_id", (F.col("y") / 1000).alias("t"), (F.col("x") / 100000).alias("s"), F.col("event").cast("double").alias("b"))
+    out = []
+    for name, make in O.ROWWISE.items():
+        y, f = F.col("b" if name == "binary_logloss" else "t"), make()
+        out.append(F.round(f.grad(y, F.col("s")), 6).alias(f"g_{name}"))
+        if name in ("huber", "binary_logloss"):
+            out.append(F.round(f.hess(y, F.col("s")), 6).alias(f"h_{name}"))
+    return o.select("row_id", *out)
+
+
+@query(f"""WITH {P}, s AS (SELECT row_id, days, CAST(event AS DOUBLE) AS e, exp(y / 5000) AS r FROM p), a AS (SELECT *, sum(r) OVER (ORDER BY days DESC RANGE UNBOUNDED PRECEDING) AS risk FROM s),
+b AS (SELECT *, sum(e / risk) OVER (ORDER BY days RANGE UNBOUNDED PRECEDING) AS u, sum(e / (risk * risk)) OVER (ORDER BY days RANGE UNBOUNDED PRECEDING) AS v FROM a) SELECT row_id, round(r * u - e, 6) AS grad, round(greatest(r * u - r * r * v, 1e-7), 6) AS hess FROM b""")
+def cox_gradient(spark, d):
+    o = orders(spark, d).withColumn("f", F.col("y") / 5000)
+    return rounded(O.cox_gradient(o, "days", "event", "f").select("row_id", "grad", "hess"), "grad", "hess")
+
+
+@query(f"""WITH {P}, k AS (SELECT row_id, cust, CAST(substr(cat, 1, 1) AS INT) AS rel, x / 100000 AS s, pow(2.0, CAST(substr(cat, 1, 1) AS INT)) - 1 AS gain, 1 / log2(row_number() OVER (PARTITION BY cust ORDER BY x / 100000 DESC, row_id) + 1) AS disc,
+ 1 / log2(row_number() OVER (PARTITION BY cust ORDER BY CAST(substr(cat, 1, 1) AS INT) DESC, row_id) + 1) AS best FROM p), w AS (SELECT *, sum(gain * best) OVER (PARTITION BY cust) AS idcg FROM k),
+z AS (SELECT a.row_id, CASE WHEN a.rel > b.rel THEN 1 ELSE -1 END AS u, a.s - b.s AS ds, abs((a.gain - b.gain) * (a.disc - b.disc)) / a.idcg AS dl FROM w a JOIN w b ON a.cust = b.cust AND a.rel <> b.rel),
+y AS (SELECT row_id, -u / (1 + exp(u * ds)) * dl AS g FROM z), t AS (SELECT row_id, sum(g) AS grad FROM y GROUP BY 1) SELECT p.row_id, round(coalesce(grad, 0), 6) AS grad FROM p LEFT JOIN t ON t.row_id = p.row_id""")
+def lambdarank_gradient(spark, d):
+    o = orders(spark, d).withColumn("rel", F.substring("cat", 1, 1).cast("int")).withColumn("s", F.col("x") / 100000)
+    return rounded(O.lambdarank(o, "row_id", "cust", "rel", "s").select("row_id", "grad"), "grad")
+
+
+@query(f"WITH {P}, r AS (SELECT row_id, row_number() OVER (ORDER BY abs(y) DESC, row_id) AS k, count(*) OVER () AS n FROM p) SELECT row_id FROM r WHERE k <= floor(n * 0.2)")
+def goss_top(spark, d):
+    return E.goss(orders(spark, d), "y", "row_id").where("weight = 1").select("row_id")
+
+
+@query()
+def boosted_fit_predict(spark, d):
+    o = orders(spark, d).select("row_id", "era", F.col("x"), F.col("days").cast("double").alias("days"), F.substring("cat", 1, 1).cast("double").alias("priority"), F.col("y").alias("label"))
+    model = Regressor(features=["x", "days", "priority"], era="era", n_estimators=5, max_depth=3, max_leaves=6, max_bins=32, era_method="hard_era", order="row_id").fit(o)
+    return model.transform(o).select("row_id", F.round("prediction", 6).alias("prediction"))
+
+
+@query()
+def multiclass_embeddings(spark, d):
+    e = read(spark, d, "embeddings").where("label < 3")
+    rows = e.select(F.col("vec_id").alias("row_id"), F.col("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    model = Classifier(features=[f"e{i}" for i in range(4)], n_estimators=3, max_depth=2, max_bins=16).fit(rows)
+    return model.transform(rows).select("row_id", F.col("prediction").cast("int").alias("prediction"))
 
 
 def queries():
-    return {}
+    return dict(Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(S)
