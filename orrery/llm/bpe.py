@@ -258,6 +258,18 @@ def automaton_of(spec: dict, key: str) -> MergeAutomaton:
     return _built[key]
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def worker_encoder(shipped, kind: str, make=Encoder) -> Encoder:
+    """A worker process keeps its encoder, and so its bounded caches, from task to task."""
+    key = (shipped.key, kind)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = make(shipped.automaton())
+    return _encoders[key]
+
+
 class Shipped:
     """A vocabulary read on the driver and broadcast (its size is that of the file, a few MB)."""
 
@@ -274,7 +286,7 @@ def _batches(df: DataFrame, shipped: Shipped, columns: list[str], schema: str, r
     """rows(encoder or automaton, batch as lists) gives the output columns of one Arrow batch."""
 
     def run(batches):
-        state = Encoder(shipped.automaton())
+        state = worker_encoder(shipped, "ids")
         for batch in batches:
             yield pa.RecordBatch.from_pydict(rows(state, *(batch.column(i).to_pylist() for i in range(len(columns)))))
 

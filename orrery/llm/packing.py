@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import Encoder, Shipped
+from .bpe import Encoder, Shipped, worker_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -110,6 +110,16 @@ class Packer:
             self.next_group += groups
 
 
+class _Bytes(Encoder):
+    """Units stand for their ids as little-endian 32-bit integers."""
+
+    def __init__(self, automaton):
+        super().__init__(automaton, b"".join, word_value=lambda w: np.array(automaton.encode_word(w.encode()), "<u4").tobytes())
+
+    def special_value(self, token: str) -> bytes:
+        return np.array([self.automaton.special[token]], "<u4").tobytes()
+
+
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tiers=(128, 256, 512, 1024), step_tokens: int = 8192, buffer: int = 4096) -> DataFrame:
     """One row per piece: where it lies in its document and in which sequence, tier and step group."""
     shipped = Shipped(df.sparkSession, path)
@@ -128,10 +138,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 40)
-        automaton = shipped.automaton()
-        raw = lambda words: b"".join(words)
-        enc = Encoder(automaton, raw, word_value=lambda w: np.array(automaton.encode_word(w.encode()), "<u4").tobytes())
-        enc.special_value = lambda token: np.array([automaton.special[token]], "<u4").tobytes()
+        enc = worker_encoder(shipped, "bytes", _Bytes)
         end = np.array([end_id], "<u4").tobytes()
         tokens = 0
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, Shipped
+from .bpe import Encoder, Shipped, worker_encoder
 
 
 def frequent_units(df: DataFrame, text_col: str = "text", per_task: int = 2048, held: int = 150_000, table_size: int = 16_384) -> list[str]:
@@ -46,7 +46,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     table = df.sparkSession.sparkContext.broadcast({u: counter.spaced[u] for u in frequent_units(df, text_col, table_size=table_size)})
 
     def run(batches):
-        enc = _Lengths(shipped.automaton())
+        enc = worker_encoder(shipped, "lengths", _Lengths)
         frequent = table.value
         enc.spaced.make = lambda u: frequent[u] if u in frequent else enc._unit(" " + u)
         for batch in batches:
