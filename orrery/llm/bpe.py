@@ -189,14 +189,15 @@ class Encoder:
     #: their Unicode versions differ, so such units are split by the library's own pre-tokenizer.
     AGREED = "\u0530"
 
-    def __init__(self, automaton: MergeAutomaton, value=None, most: int = 400_000, word_value=None):
+    def __init__(self, automaton: MergeAutomaton, value=None, most: int = 1_000_000, word_value=None):
         self.automaton = automaton
         self._find = regex.compile(SPLIT).findall
         self.gap = regex.compile(r"\s ")
         self.value = value or (lambda words: tuple(chain.from_iterable(words)))
-        self.words = _Kept(word_value or (lambda w: automaton.encode_word(w.encode())), most)
+        self.word_value = word_value or (lambda w: automaton.encode_word(w.encode()))
+        self.words = _Kept(self.word_value, most // 4)
         self.spaced = _Kept(lambda u: self._unit(" " + u), most)
-        self.plain = _Kept(self._unit, most // 10)
+        self.plain = _Kept(self._unit, most // 20)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, automaton.special)) + ")").split if automaton.special else None
         self._library = None
 
@@ -212,9 +213,16 @@ class Encoder:
 
     def _unit(self, unit: str):
         body = unit[1:]
-        if body.isalpha() and unit[0] == " " and (body.isascii() or max(body) < self.AGREED):
-            return self.value((self.words[unit],))
-        return self.value(map(self.words.__getitem__, self.find(unit)))
+        if unit[0] == " " and self._one_word(body):
+            return self.value((self.word_value(unit),))
+        return self.value(map(self._word, self.find(unit)))
+
+    def _one_word(self, body: str) -> bool:
+        return body.isalpha() and (body.isascii() or max(body) < self.AGREED)
+
+    def _word(self, word: str):
+        """A space-led word of letters is a unit itself and is kept once, among the units."""
+        return self.spaced[word[1:]] if word[0] == " " and self._one_word(word[1:]) else self.words[word]
 
     def special_value(self, token: str):
         return self.value(((self.automaton.special[token],),))
@@ -236,7 +244,7 @@ class Encoder:
 
     def _plain_pieces(self, text: str):
         if "  " in text or "\n " in text or not text.isascii() and self.gap.search(text) or any(c in text for c in self.BLANKS):
-            return map(lambda w: self.value((self.words[w],)), self.find(text))
+            return map(lambda w: self.value((self._word(w),)), self.find(text))
         first, *rest = text.split(" ")
         return chain((self.plain[first],) if first else (), map(self.spaced.__getitem__, rest))
 
