@@ -44,7 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("quality", good), ("line_dedup", lines), ("near_dedup", near), ("packing", packed)]
 
-#: Learned models, hashes and token ids: SQL can't express the stages; tests/llm checks them by brute force.
+#: Learned models, hashes and token ids: SQL can't express the stages. The whole is not yet tested by brute force.
 ORACLE_SQL = None
 
 
