@@ -160,10 +160,32 @@ class MergeAutomaton:
                 prev = path[-1] if path else -1
         return tuple(path)
 
+    def token_ids(self) -> dict[bytes, int]:
+        """Every token that a text can have."""
+        return dict(self._token)
+
+    def born(self, token: int) -> int:
+        """The rank of the merge that makes a token; -1: a byte."""
+        return self._born[token]
+
     def decode(self, ids) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def merge_words(automaton: MergeAutomaton, longest: int = 256):
+    """A function from words to ids by tiktoken's merge loop over the automaton's tokens, for operators whose
+    method isn't the automaton.  Without merge-ordered ids, and for words of over `longest` characters, for
+    which the loop is quadratic, the automaton itself runs."""
+    import tiktoken
+
+    ranks, born = automaton.token_ids(), automaton.born
+    by_birth = sorted(ranks.values(), key=born)
+    if len(ranks) < 256 or any(a >= b for a, b in zip(by_birth, by_birth[1:], strict=False) if born(a) >= 0):
+        return lambda w: automaton.encode_word(w.encode())
+    merge = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    return lambda w: merge(w.encode()) if len(w) <= longest else automaton.encode_word(w.encode())
+
+
 class _Kept(dict):
     """A bounded cache that fills itself: when it is full it becomes the old generation, from which hits come back."""
 

@@ -14,6 +14,7 @@ Null and empty texts are one piece with the end token alone.  Repeated rows are
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_right, insort
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import Encoder, Shipped, worker_encoder
+from .bpe import Encoder, Shipped, merge_words, worker_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -110,14 +111,19 @@ class Packer:
             self.next_group += groups
 
 
+def pack_ids(ids) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Bytes(Encoder):
     """Units stand for their ids as little-endian 32-bit integers."""
 
     def __init__(self, automaton):
-        super().__init__(automaton, b"".join, word_value=lambda w: np.array(automaton.encode_word(w.encode()), "<u4").tobytes())
+        merge = merge_words(automaton)
+        super().__init__(automaton, b"".join, word_value=lambda w: pack_ids(merge(w)))
 
     def special_value(self, token: str) -> bytes:
-        return np.array([self.automaton.special[token]], "<u4").tobytes()
+        return pack_ids((self.automaton.special[token],))
 
 
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tiers=(128, 256, 512, 1024), step_tokens: int = 8192, buffer: int = 4096) -> DataFrame:
