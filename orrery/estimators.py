@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import frame_objectives as W
 from .functions import objectives as O
 from .plans.boosting import Booster, Params
 
@@ -30,6 +31,40 @@ class QuantileRegressor(Regressor):
     objective, options = "quantile", {"alpha": 0.5}
 
 
+class Ranker(Regressor):
+    """LambdaRank: the label is the relevance within a group."""
+
+    def __init__(self, features: list[str], group: str, sigma: float = 1.0, **args):
+        super().__init__(features, objective=W.lambdarank(group, sigma), **args)
+
+
+class Survival(Regressor):
+    """Cox proportional hazards: the label is the time; `prediction` is the hazard."""
+
+    def __init__(self, features: list[str], event: str, **args):
+        super().__init__(features, objective=W.cox(event), **args)
+
+
+class MultiTargetRegressor(Regressor):
+    def __init__(self, features: list[str], aux: list[str], alpha: float = 0.7, base: str = "mse", base_options: dict | None = None, **args):
+        super().__init__(features, objective=W.several(O.ROWWISE[base](**(base_options or {})), aux, alpha), **args)
+
+
+class RankRegressor(Regressor):
+    """Learns the label's rank; `objective` is spearman, max_sharpe (needs eras) or neutral."""
+
+    def __init__(self, features: list[str], objective: str = "spearman", **args):
+        made = {"spearman": W.spearman, "max_sharpe": W.max_sharpe, "neutral": lambda: W.neutral(len(features))}[objective]()
+        if objective == "max_sharpe" and not args.get("era"):
+            raise ValueError("max_sharpe needs an era column")
+        super().__init__(features, objective=made, **args)
+
+    def fit(self, df: DataFrame, valid: DataFrame | None = None) -> Booster:
+        label, row = self.args["label"], self.args["row"]
+        ranked = lambda x: W.rank_target(x, label, row, "_target").drop(label).withColumnRenamed("_target", label)
+        return super().fit(ranked(df), ranked(valid) if valid is not None else None)
+
+
 class Classifier:
     """One model per class, softmax over their raw scores; two classes make one model."""
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..operators import eras as E
 from ..sources.tables import written
+from . import objectives as O
 from .safe import div
 
 
@@ -71,3 +72,55 @@ def multi_target(objective, label: Column, pred: Column, aux: list[Column], alph
     if aux:
         grad = alpha * grad + (1 - alpha) * sum((objective.grad(a, pred) for a in aux), F.lit(0.0)) / len(aux)
     return grad, objective.hess(label, pred)
+
+
+def _whole(name: str, frame, columns: tuple[str, ...] = (), init=F.avg, link=lambda p: p) -> O.Objective:
+    """An objective of whole frames; its loss, where rows need one, is the squared distance to the label."""
+    square = O.mse()
+    return O.Objective(name, square.grad, square.hess, init, square.loss, link=link, frame=frame, columns=columns)
+
+
+def _zero(y: Column) -> Column:
+    return F.coalesce(F.max(F.lit(0.0)), F.lit(0.0))
+
+
+def spearman(correction: float = 0.5) -> O.Objective:
+    """The label is a rank target."""
+    return _whole("spearman", lambda df: spearman_gradient(df, "label", "pred", correction))
+
+
+def max_sharpe() -> O.Objective:
+    return _whole("max_sharpe", lambda df: max_sharpe_gradient(df, "era", "label", "pred", "row"), init=_zero)
+
+
+def neutral(count: int, ridge: float = 1e-4) -> O.Objective:
+    """Of a rank target; against all `count` features, missing values as 0."""
+    names = [f"_f{i}" for i in range(count)]
+
+    def frame(df: DataFrame) -> DataFrame:
+        named = df.select("*", *[F.coalesce(F.col("x")[i], F.lit(0.0)).alias(n) for i, n in enumerate(names)])
+        return neutral_gradient(named, "label", "pred", names, ridge).drop(*names)
+
+    return _whole("neutral", frame)
+
+
+def lambdarank(group: str, sigma: float = 1.0) -> O.Objective:
+    def frame(df: DataFrame) -> DataFrame:
+        return df.join(O.lambdarank(df, "row", f"with_{group}", "label", "pred", sigma), "row")
+
+    return _whole("lambdarank", frame, (group,), _zero)
+
+
+def cox(event: str) -> O.Objective:
+    """The label is the time; predictions are hazards."""
+    return _whole("cox", lambda df: O.cox_gradient(df, "label", f"with_{event}", "pred"), (event,), _zero, F.exp)
+
+
+def several(base: O.Objective, aux: list[str], alpha: float) -> O.Objective:
+    """The base objective's gradient on the label and on the further target columns."""
+
+    def frame(df: DataFrame) -> DataFrame:
+        grad, hess = multi_target(base, F.col("label"), F.col("pred"), [F.col(f"with_{a}").cast("double") for a in aux], alpha)
+        return df.withColumn("grad", grad.cast("double")).withColumn("hess", hess.cast("double"))
+
+    return O.Objective(f"multi_{base.name}", base.grad, base.hess, base.init, base.loss, base.leaf, base.link, frame, tuple(aux))

@@ -18,7 +18,8 @@ def sigmoid(x: Column) -> Column:
 
 @dataclass
 class Objective:
-    """leaf: an aggregate of the residual that replaces the Newton step in leaves; link: from raw score to prediction."""
+    """leaf: an aggregate of the residual that replaces the Newton step in leaves; link: from raw score to prediction;
+    frame: in place of grad and hess, adds both to a frame of row, x, label, era, pred and the input's `columns`."""
 
     name: str
     grad: Callable[[Column, Column], Column]
@@ -27,6 +28,8 @@ class Objective:
     loss: Callable[[Column, Column], Column]
     leaf: Callable[[Column], Column] | None = None
     link: Callable[[Column], Column] = lambda p: p
+    frame: Callable | None = None
+    columns: tuple[str, ...] = ()
 
 
 def _one(y, p):

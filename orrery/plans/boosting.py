@@ -150,7 +150,10 @@ class Booster:
     def gradients(self, df: DataFrame) -> DataFrame:
         """g and h: objective, time smoothing, era weights, exposure, era clip, projection, clip and noise, in this order."""
         p, y, s = self.p, F.col("label"), F.col("pred")
-        df = df.withColumn("g", self.objective.grad(y, s).cast("double")).withColumn("h", self.objective.hess(y, s).cast("double"))
+        if self.objective.frame:
+            df = written(self.objective.frame(df).withColumnsRenamed({"grad": "g", "hess": "h"}))  # every level reads it
+        else:
+            df = df.withColumn("g", self.objective.grad(y, s).cast("double")).withColumn("h", self.objective.hess(y, s).cast("double"))
         if p.temporal_rho:
             df = E.temporal_gradient(df, "order", "pred", p.temporal_rho, ["era"] if self.era else []).withColumn("g", F.col("g") + F.col("tgrad")).drop("tgrad")
         if p.era_method and self.era:
@@ -326,7 +329,7 @@ class Booster:
         x = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in self.features]
         bins = F.array(*[T.digitize(c, self.edges[f], self.missing) for c, f in zip(x, self.features, strict=True)])
         era = F.col(self.era) if self.era else F.lit(0)
-        return df.select(F.col(self.row).alias("row"), F.array(*x).alias("x"), bins.alias("bins"), F.col(self.label).cast("double").alias("label"), era.alias("era"), F.col(self.order).alias("order"), F.lit(self.base).alias("pred"))
+        return df.select(F.col(self.row).alias("row"), F.array(*x).alias("x"), bins.alias("bins"), F.col(self.label).cast("double").alias("label"), era.alias("era"), F.col(self.order).alias("order"), F.lit(self.base).alias("pred"), *[F.col(c).alias(f"with_{c}") for c in self.objective.columns])
 
     def fit(self, df: DataFrame, valid: DataFrame | None = None) -> "Booster":
         p = self.p

@@ -4,7 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from orrery.estimators import Classifier, QuantileRegressor, Regressor
+from pyspark.sql import functions as F
+
+from orrery.estimators import Classifier, MultiTargetRegressor, QuantileRegressor, Ranker, RankRegressor, Regressor, Survival
 from orrery.plans.boosting import Params, best_split
 
 
@@ -77,3 +79,23 @@ def test_best_split_is_the_best():
                 if 0 < left.sum() < 200:
                     gains.append(0.5 * (s(left) + s(~left) - s(np.ones(200, bool))))
     assert math.isclose(best[0][0], max(gains), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["spearman", "neutral", "max_sharpe"])
+def test_rank_regressors_learn_the_order(data, kind):
+    df, _ = data
+    more = {"era": "era", "reg_lambda": 1e-6, "min_child_weight": 0.0, "learning_rate": 0.01} if kind == "max_sharpe" else {}
+    out = RankRegressor(objective=kind, **BASE | more).fit(df).transform(df).toPandas()
+    assert out.label.corr(out.prediction, method="pearson") > (0.0 if kind == "neutral" else 0.5)
+
+
+def test_ranker_survival_and_multi_target(data):
+    df, pdf = data
+    ranks = df.withColumn("label", (F.col("a") > 0).cast("int") + (F.col("a") > 1).cast("int"))
+    out = Ranker(group="era", **BASE | {"min_child_weight": 0.01}).fit(ranks).transform(ranks).toPandas()
+    assert out.prediction[out.label == 2].mean() > out.prediction[out.label == 0].mean()
+    times = df.withColumn("label", F.exp(-F.col("a"))).withColumn("died", F.col("row_id") % 4 != 0)
+    out = Survival(event="died", **BASE).fit(times).transform(times).toPandas()
+    assert (out.prediction > 0).all() and np.corrcoef(np.log(out.prediction), out.a)[0, 1] > 0.5
+    out = MultiTargetRegressor(aux=["label"], alpha=0.5, **BASE).fit(df).transform(df).toPandas()
+    assert r2(out) > 0.5
