@@ -154,3 +154,40 @@ def test_classifiers(spark, docs, none):
     got = by_id(langid.predict(docs, net))
     assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[8]["lang_pred"] == "und" and got[4]["lang_pred"] == "en"
     assert quality.score(none, model).count() == langid.predict(none, net).count() == 0
+
+
+def repeated_lines(texts, least=50):
+    """By brute force: per document the lines in runs of `least` words or more that occur earlier, from a line with words to one."""
+    lines = [t.split("\n") for t in texts]
+    seen, gone = {}, [set() for _ in texts]
+    for d, own in enumerate(lines):
+        for i in range(len(own)):
+            for j in range(i, len(own)):
+                run = tuple(own[i : j + 1])
+                if own[i].split() and own[j].split() and sum(len(x.split()) for x in run) >= least and seen.setdefault(run, (d, i)) < (d, i):
+                    gone[d].update(range(i, j + 1))
+    return gone
+
+
+def test_line_dedup_short_passages_at_every_offset(spark):
+    import random
+
+    r = random.Random(3)
+    words = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    passages = [[words(30), words(30)], [words(24), words(26)], [words(40), words(45), words(1)], [words(20), "", words(20), words(12)], [words(12) for _ in range(5)], [words(60)], [words(1) for _ in range(55)]]
+    texts = []
+    for p in passages:
+        for before in range(5):
+            texts.append("\n".join([words(r.choice([0, 3, 9])) for _ in range(before)] + p + [words(4) for _ in range(before % 3)]))
+    texts += ["\n".join([words(5), *passages[0], words(3), *passages[0]]), "\n".join(["one two three four five six seven eight nine ten"] * 12), "\n\n \n", "x"]
+    rows = [(k, t, "x") for k, t in enumerate(texts)]
+    # modulus is too large for a cut within a document: runs alone decide
+    out = by_id(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, place string").repartition(3), modulus=2**40))
+    for (key, text, _), gone in zip(rows, repeated_lines(texts), strict=True):
+        assert out[key]["text"] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone), key
+    # with cuts inside too no line of a repeated passage stays
+    out = by_id(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, place string")))
+    for (key, text, _), gone in zip(rows, repeated_lines(texts), strict=True):
+        lines, kept = text.split("\n"), out[key]["text"].split("\n")
+        long = {lines[i] for i in gone if lines[i]} - {x for i, x in enumerate(lines) if i not in gone}
+        assert not long & set(kept), key
