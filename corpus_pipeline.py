@@ -10,6 +10,8 @@ from orrery.llm.queries import remainder, tokenizer_path
 
 #: Documents of which the classifier says with at least this probability that they are good stay.
 LEAST_QUALITY = 0.5
+#: Documents whose shingle sets have at least this Jaccard likeness, in percent, are near duplicates.
+NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one stays."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 

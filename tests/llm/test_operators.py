@@ -191,3 +191,14 @@ def test_line_dedup_short_passages_at_every_offset(spark):
         lines, kept = text.split("\n"), out[key]["text"].split("\n")
         long = {lines[i] for i in gone if lines[i]} - {x for i, x in enumerate(lines) if i not in gone}
         assert not long & set(kept), key
+
+
+def test_pipeline_near_stage_threshold(spark):
+    import corpus_pipeline
+
+    base = [f"t{i}" for i in range(150)]
+    edited = lambda *at: " ".join(f"e{i}" if i in at else w for i, w in enumerate(base))
+    # of 146 shingles 5 differ for each edit: likeness 131 / 161 = 0.81 and 126 / 166 = 0.76
+    rows = [(1, edited(), 0), (2, edited(20, 60, 100), 0), (11, edited().replace("t", "u"), 0), (12, edited(20, 60, 100, 130).replace("t", "u"), 0)]
+    out = corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 11, 12]
