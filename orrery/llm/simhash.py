@@ -2,7 +2,7 @@
 
 Terms are pairs of neighbouring words (a single word alone where there is one), weighted by their
 length.  Each term's 64-bit hash votes on 64 bits.  Votes are summed four bits to a long, 16 bits
-each, over blocks of at most 16,384 terms, so that a plain hash aggregate does the work; the block
+each, over blocks of at most 10,922 terms, so that a plain hash aggregate does the work; the block
 sums are then unpacked and added up per document.
 
 The search side keeps permuted block tables: the 64 bits are cut into `radius + extra` blocks, and
@@ -23,7 +23,8 @@ from pyspark.sql.window import Window
 
 BITS, LANES = 64, 4
 WORDS = BITS // LANES
-BLOCK = 16_384
+#: Terms weigh 3 at most and the top lane of a signed long holds 32,767.
+BLOCK = 10_922
 
 
 def terms(text: Column) -> Column:

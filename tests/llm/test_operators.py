@@ -193,6 +193,14 @@ def test_line_dedup_short_passages_at_every_offset(spark):
         assert not long & set(kept), key
 
 
+def test_simhash_one_word_many_times(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "wordy " * 50_000), (2, "wordy wordy")], "doc_id long, text string")
+    expected = df.select(F.xxhash64(F.lit("wordy wordy"))).first()[0]
+    assert {r["doc_id"]: r["fp"] for r in simhash.fingerprints(df, ["doc_id"]).collect()} == {1: expected, 2: expected}
+
+
 def test_pipeline_near_stage_threshold(spark):
     import corpus_pipeline
 
