@@ -335,9 +335,11 @@ def boosted_fit_predict(spark, d):
 
 @query()
 def multiclass_embeddings(spark, d):
-    e = read(spark, d, "embeddings").where("label < 3")
-    rows = e.select(F.col("vec_id").alias("row_id"), F.col("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    model = Classifier(features=[f"e{i}" for i in range(4)], n_estimators=3, max_depth=2, max_bins=16).fit(rows)
+    e = read(spark, d, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"e{i}" for i in range(width)]
+    rows = e.select(F.col("vec_id").alias("row_id"), F.col("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    model = Classifier(features=names, n_estimators=3, max_depth=2, max_bins=16).fit(rows)
     return model.transform(rows).select("row_id", F.col("prediction").cast("int").alias("prediction"))
 
 

@@ -99,3 +99,13 @@ def test_ranker_survival_and_multi_target(data):
     assert (out.prediction > 0).all() and np.corrcoef(np.log(out.prediction), out.a)[0, 1] > 0.5
     out = MultiTargetRegressor(aux=["label"], alpha=0.5, **BASE).fit(df).transform(df).toPandas()
     assert r2(out) > 0.5
+
+
+def test_multiclass_embeddings_reads_all_classes_and_elements(spark, tmp_path):
+    from orrery.queries import multiclass_embeddings
+
+    # class k alone has a large element 4 + k; the first four say nothing
+    rows = [(i, [float(i % 3)] * 4 + [10.0 + i % 2 if i % 5 == k else float(i % 2) for k in range(5)], i % 5) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = {r["row_id"]: r["prediction"] for r in multiclass_embeddings(spark, str(tmp_path)).collect()}
+    assert out == {i: int(np.argmax(e[4:])) for i, e, _ in rows}
