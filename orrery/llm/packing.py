@@ -1,9 +1,9 @@
 """Hierarchical multi-length packing of token streams, without a shuffle.
 
 A document's full windows (longest tier) are cut off first and need no company.  What is left is
-routed to the smallest tier that holds it.  Within a buffer of documents each tier is packed from
-the longest down: an item opens a window, the gap is filled with the largest whole items of the
-shorter tiers that fit, and a cut item closes it.  The last, partly filled window of a buffer is
+routed to the smallest tier that holds it.  Within a buffer of documents windows of the longest
+tier alone are packed: the gap is filled with the largest whole items of any tier that fit, and a
+cut item closes it.  The last, partly filled window of a buffer is
 cut at powers of two, so no sequence is padded.  Sequences of one tier are dealt to step groups of
 equal tokens, balanced by attention cost (the sum of the squared piece lengths).
 
