@@ -7,12 +7,13 @@ Training is Adam in numpy on windows of a bounded sample; prediction runs over b
 whole texts and averages their log odds, weighted by their bytes.
 
 Texts that are null or have no letter are `und` with score 0.  With no labelled row at all, every
-text is `und`.  Ties go to the first language in alphabetical order.
+text is `und`.  Ties go to the first language in alphabetical order.  Texts of any length are read whole.
+Repeated rows are read one by one and alike, an empty table gives an empty one, and further columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quality import sampled
+
 WIDTHS = (2, 3, 4)
 
 
@@ -109,44 +112,48 @@ def train(texts: list[str], langs: list[str], window: int = 128, filters: int =
     return net
 
 
-def fit(documents: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1500, longest: int = 20_000) -> Network:
-    """Trains on at most `sample` rows that are allowed, have a language and at most `longest` characters: those
-    of the smallest id hashes."""
-    usable = documents.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= longest))
-    chosen = usable.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = usable.join(F.broadcast(chosen), id_col).select(id_col, text_col, lang_col).limit(2 * sample).collect()
-    rows.sort(key=lambda r: (hashlib.sha256(str(r[0]).encode()).digest(), r[1]))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+def fit(documents: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1500, longest: int = 20_000, budget: int = 4_000_000, per_text: int = 6) -> Network:
+    """Trains on a bounded sample of the rows that are allowed and have a language and a text: those of the smallest
+    id hashes, at most `sample` of them, with texts of at most `longest` characters and `budget` characters together,
+    and on at most `per_text` windows of each.  Equal rows count once.  Rows that are not allowed are never read."""
+    usable = documents.where(allowed & F.col(lang_col).isNotNull() & (F.length(text_col) <= longest))
+    hashed = usable.select(F.xxhash64(id_col).alias("_h"), F.xxhash64(text_col, lang_col).alias("_k"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    texts, langs = sampled(hashed, "_lang", sample, budget)
+    return train(texts, langs, per_text=per_text)
 
 
 _LETTER = regex.compile(r"\p{L}")
 
 
-def predict(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", at_once: int = 128) -> DataFrame:
-    """(id_col, lang_pred, score) of every whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(net)
+class _Reader:
+    """Language and score of batches of texts; windows of many texts go through the network `at_once` at a time."""
 
-    def some(net: Network, texts: list[str | None]):
-        """Windows of many texts go through the network together, `at_once` at a time."""
+    def __init__(self, net: Network, at_once: int = 128):
+        self.net, self.at_once = net, at_once
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        net = self.net
+        found: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not net.languages:
-            return [("und", 0.0)] * len(texts)
+            return found
         used = [(k, t.encode()) for k, t in enumerate(texts) if t and _LETTER.search(t)]
-        found: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        pending, owners, sums = [], [], np.zeros((len(texts), len(net.languages)))
+        pending, owners, held, sums = [], [], 0, np.zeros((len(texts), len(net.languages)))
 
         def go():
             x, who = np.concatenate(pending), np.concatenate(owners)
             weight = (x != 0).sum(1)
-            for k in range(0, len(x), at_once):
-                part = slice(k, k + at_once)
+            for k in range(0, len(x), self.at_once):
+                part = slice(k, k + self.at_once)
                 np.add.at(sums, who[part], net.log_odds(x[part]) * weight[part, None])
             pending.clear(), owners.clear()
 
         for k, raw in used:
             pending.append(windows(raw, net.window))
             owners.append(np.full(len(pending[-1]), k))
-            if len(pending) > 500 or len(pending[-1]) > 10_000:
+            held += len(pending[-1])
+            if held > 10_000:
                 go()
+                held = 0
         if pending:
             go()
         for k, raw in used:
@@ -157,10 +164,28 @@ def predict(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
             found[k] = (net.languages[best], float(p[best]))
         return found
 
+
+def predict(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, lang_pred, score) of every whole text; ids of any type, null too, come back."""
+    shared = df.sparkSession.sparkContext.broadcast(net)
+
     def run(batches):
-        net = shared.value
+        reader = _Reader(shared.value)
         for batch in batches:
-            found = some(net, batch.column(1).to_pylist())
+            found = reader(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([s for _, s in found], pa.float64())})
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep(df: DataFrame, net: Network, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of df whose language can be told with a score of `least` or more, with all their columns, in one map."""
+    shared = df.sparkSession.sparkContext.broadcast(net)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        reader = _Reader(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in reader(batch.column(at).to_pylist())], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

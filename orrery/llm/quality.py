@@ -7,12 +7,13 @@ A pair of equal words shares one bucket, so that repetition itself can be learne
 
 Scoring is one map over whole texts: as the softmax is linear, each bucket shrinks to one number,
 a word to the sum of its buckets, and a worker keeps the words it has met in a bounded cache.
-Null and empty texts, and texts of white space, have no features and get the prior's score.
+Null and empty texts, and texts of white space, have no features and get the prior's score.  Texts of any
+length are scored whole, 64 at a time.  Repeated rows are scored one by one and alike, an empty table gives an
+empty one, and further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,14 +68,16 @@ def pair_features(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class _Words:
-    """Hash, sum of margins and number of buckets of every word met; at `most` words it starts anew."""
+    """Hash, sum of margins and number of buckets of every word met; at `most` words or `chars` characters it
+    starts anew, so texts without spaces, whose words are whole paragraphs, don't fill the memory either."""
 
-    def __init__(self, margins: np.ndarray, most: int = 400_000):
-        self.margins, self.most = margins, most
+    def __init__(self, margins: np.ndarray, most: int = 400_000, chars: int = 8_000_000):
+        self.margins, self.most, self.chars = margins, most, chars
         self.reset()
 
     def reset(self) -> None:
         self.place: dict[str, int] = {}
+        self.held = 0
         self.hashes, self.sums, self.counts = np.zeros(1024, np.uint64), np.zeros(1024), np.zeros(1024)
 
     def add(self, words: list[str]) -> None:
@@ -85,6 +88,7 @@ class _Words:
         self.sums[k : k + n] = np.bincount(owner, self.margins[found], n)
         self.counts[k : k + n] = np.bincount(owner, minlength=n)
         self.place.update(zip(words, range(k, k + n)))
+        self.held += sum(map(len, words))
 
     def means(self, texts: list[str]) -> np.ndarray:
         """The mean margin over every text's features; 0 for a text without words."""
@@ -92,7 +96,7 @@ class _Words:
         words = [w for ws in split for w in ws]
         if not words:
             return np.zeros(len(texts))
-        if len(self.place) > self.most:
+        if len(self.place) > self.most or self.held > self.chars:
             self.reset()
         place = self.place
         if new := [w for w in dict.fromkeys(words) if w not in place]:
@@ -106,23 +110,39 @@ class _Words:
         return sums / np.maximum(counts, 1)
 
 
+def _vocabulary(words: list[str], buckets: int, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes, and their buckets one word after the other: word k has those from first[k] to first[k + 1]."""
+    hashes, sizes, found = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+    for k in range(0, len(words), at_once):
+        h, owner, ids = word_features(words[k : k + at_once], buckets)
+        hashes.append(h)
+        sizes.append(np.bincount(owner, minlength=len(h)))
+        found.append(ids[np.argsort(owner, kind="stable")].astype(np.int32))
+    return np.concatenate(hashes), np.concatenate(sizes).cumsum(), np.concatenate(found)
+
+
+def _shares(at: np.ndarray, hashes: np.ndarray, first: np.ndarray, grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A document's distinct buckets and the share of its features in each, in four bytes each."""
+    words, times = np.unique(at, return_counts=True)
+    sizes = first[words + 1] - first[words]
+    ends = sizes.cumsum()
+    own = grams[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[words] - ends + sizes, sizes)]
+    pairs = pair_features(hashes[at], buckets).astype(np.int32) if len(at) > 1 else np.zeros(0, np.int32)
+    where, back = np.unique(np.concatenate([own, pairs]), return_inverse=True)
+    counts = np.bincount(back, np.concatenate([np.repeat(times, sizes), np.ones(len(pairs))]), len(where))
+    return where, (counts / max(1.0, counts.sum())).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 4, rate: float = 0.4, seed: int = 11) -> Model:
     """The bias is the labels' log odds and stays: a text that says nothing gets the prior."""
     rng = np.random.default_rng(seed)
     share1 = (sum(labels) + 1) / (len(labels) + 2)
     model = Model(rng.uniform(-1 / dim, 1 / dim, (buckets, dim)), np.zeros((dim, 2)), np.log([1 - share1, share1]))
-    split = [t.split() for t in texts]
-    vocabulary = list(dict.fromkeys(w for ws in split for w in ws))
-    number = {w: k for k, w in enumerate(vocabulary)}
-    hashes, owner, found = word_features(vocabulary, buckets) if vocabulary else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    order = np.argsort(owner, kind="stable")
-    grams = np.split(found[order], np.cumsum(np.bincount(owner, minlength=len(vocabulary)))[:-1]) if vocabulary else []
-    docs = []
-    for ws in split:
-        at = [number[w] for w in ws]
-        ids = np.concatenate([*(grams[k] for k in at), pair_features(hashes[at], buckets)]) if at else np.zeros(0, np.int64)
-        where, count = np.unique(ids, return_counts=True)
-        docs.append((where, count / max(1, len(ids))))
+    number: dict[str, int] = {}
+    split = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int32) for t in texts]
+    hashes, first, grams = _vocabulary(list(number), buckets)
+    docs = [_shares(at, hashes, first, grams, buckets) for at in split]
+    del number, split, hashes, first, grams
     steps, done = max(1, epochs * len(docs)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(docs)):
@@ -140,25 +160,68 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
     return model
 
 
-def fit(documents: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, longest: int = 50_000) -> Model:
-    """Trains on at most `sample` labelled rows that are allowed, those of the smallest id hashes, with texts
-    of at most `longest` characters.  Labels of other rows are never read into the model."""
-    chosen = labels.where(allowed & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = documents.join(F.broadcast(chosen), id_col).where(F.length(text_col) <= longest).select(id_col, text_col, "_label").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (hashlib.sha256(str(r[0]).encode()).digest(), r[1]))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+def fit(documents: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, longest: int = 50_000, budget: int = 4_000_000) -> Model:
+    """Trains on a bounded sample of the labelled rows that are allowed: those of the smallest id hashes, at most
+    `sample` of them, with texts of at most `longest` characters and `budget` characters together, so the driver's
+    memory is bounded too.  Equal rows count once; rows that share an id but not a text or label are rows of their
+    own.  Labels of other rows are never read into the model.  Without any row the model gives the prior 0.5."""
+    marked = labels.where(allowed & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_key"), F.col(label_col).cast("int").alias("_label"))
+    first = marked.distinct().orderBy(F.xxhash64("_key"), "_key", "_label").limit(sample)  # bounded by `sample`
+    short = documents.where(F.length(text_col) <= longest).select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    rows = short.join(F.broadcast(first), "_key").select(F.xxhash64("_key").alias("_h"), F.xxhash64("_text", "_label").alias("_k"), "_text", "_label")
+    return train(*sampled(rows, "_label", sample, budget))
+
+
+def sampled(rows: DataFrame, label_col: str, sample: int, budget: int) -> tuple[list[str], list]:
+    """Texts and labels of the first rows by (_h, _k), up to `sample` rows and `budget` characters; sizes are
+    collected first, so no more text than that reaches the driver."""
+    sizes = rows.select("_h", "_k", F.length("_text").alias("n")).distinct().orderBy("_h", "_k").limit(sample).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > budget and last is not None:
+            break
+        last = r
+    if last is None:
+        return [], []
+    inside = (F.col("_h") < last["_h"]) | ((F.col("_h") == last["_h"]) & (F.col("_k") <= last["_k"]))
+    found = rows.where(inside).dropDuplicates(["_h", "_k"]).select("_h", "_k", "_text", label_col).collect()
+    found.sort(key=lambda r: (r["_h"], r["_k"]))
+    return [r["_text"] for r in found], [r[label_col] for r in found]
+
+
+class _Scorer:
+    """Scores of batches of texts; words stay in the cache from batch to batch."""
+
+    def __init__(self, margins: np.ndarray, bias: float):
+        self.words, self.bias = _Words(margins), bias
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        whole = [t or "" for t in texts]
+        z = np.concatenate([self.words.means(whole[k : k + 64]) for k in range(0, len(whole), 64)] or [np.zeros(0)])
+        return 1 / (1 + np.exp(-np.clip(z + self.bias, -50, 50)))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score): the probability of class 1 for every whole text."""
+    """(id_col, score): the probability of class 1 for every whole text; ids of any type, null too, come back."""
     shared = df.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0])))
 
     def run(batches):
-        margins, bias = shared.value
-        words = _Words(margins)
+        scorer = _Scorer(*shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            z = np.concatenate([words.means(texts[k : k + 64]) for k in range(0, len(texts), 64)] or [np.zeros(0)]) + bias
-            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))), pa.float64())})
+            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "score": pa.array(scorer(batch.column(1).to_pylist()), pa.float64())})
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, score double")
+
+
+def keep(df: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of df that score `least` or more, with all their columns, in one map: no row is shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0])))
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        scorer = _Scorer(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at).to_pylist()) >= least, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
