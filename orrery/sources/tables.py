@@ -25,14 +25,38 @@ def panel(df: DataFrame, features: list[str], label: str | None = None, row: str
 
 
 def categorical_columns(df: DataFrame, columns: list[str], most: int = 20) -> list[str]:
-    """Columns with at most `most` distinct values, from one pass."""
-    row = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c] <= most]
+    """Columns with at most `most` distinct values, missing ones aside, from one pass of sketches; a column whose
+    sketch lies near `most` is counted exactly."""
+    row = df.agg(*[F.approx_count_distinct(null_nan(c), 0.01).alias(c) for c in columns]).first()
+    near = [c for c in columns if 0.9 * most <= row[c] <= 1.1 * most + 1]
+    exact = df.agg(*[F.count_distinct(null_nan(c)).alias(c) for c in near]).first() if near else {}
+    return [c for c in columns if (exact[c] if c in near else row[c]) <= most]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share.  Only a session that runs in one process may do without
+    spark.checkpoint.dir; on a cluster a local folder would be another one on each machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = _own_folder
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder
-    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    """df as a table in the shared folder: a cut in the lineage that outlives executors."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "written_to", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
