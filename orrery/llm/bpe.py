@@ -9,12 +9,20 @@ one merge gadget:
 * the state entered by a loses its arc b.
 
 After the last merge, the paths that are left are exactly the segmentations that greedy merging
-gives, one per byte string.  The gadgets are kept as three columns (left, right, rank) and the cut
-arcs as a hash table, so the compiled automaton has the size of the vocabulary; an arc asked for
-is resolved through the gadgets once and then kept in the transition table.
+gives, one per byte string, so the automaton is deterministic: after any prefix of a word it is in
+one state.  Its table is compiled with default transitions: a state's row is kept as the row that
+it was copied from, the moment of the copy, and the arcs that it lost since (`_right`, `_born`,
+`_cut`); an arc's column is kept as the column of its left part (`_left`).  The table so has the
+size of the vocabulary, not its square.  A second table, the byte trie of all labels with failure
+links, says which arcs end at a byte.
+
+Encoding reads a pre-split word once, byte by byte: of the arcs that end there, longest first, the
+one that the state at its start has is taken, and its target is the state there.  Nothing is tried
+twice; the path is read from the last state back.  Decoding emits the labels of the arcs.
 
 Null texts count as empty, empty texts have no tokens, words of any length are encoded in linear
-time, repeated rows give repeated results, and further columns of the input are ignored.
+time, repeated rows give repeated results, an empty table gives an empty one, ids of any type (null
+too) come back as they are, and further columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -69,11 +77,8 @@ class MergeAutomaton:
         self._token = {label: i for label, i in vocab.items() if len(label) == 1}
         for rank, (x, y) in enumerate(merges):
             self._gadget(vocab, x, y, rank)
-        self._lengths = self._prefixes()
         self._sizes = [len(label) for label in self.labels]
-        self.shorter = [-1] * size
-        for label, i in self._token.items():
-            self.shorter[i] = self._shorter(label)
+        self._trie()
 
     def _gadget(self, vocab: dict[bytes, int], x: bytes, y: bytes, rank: int) -> None:
         a, b, c = self._token.get(x), self._token.get(y), vocab.get(x + y)
@@ -86,7 +91,8 @@ class MergeAutomaton:
         self._token[x + y] = c
 
     def _arc_before(self, a: int, b: int, time: int) -> bool:
-        """Whether arc b leaves the state of a just before merge `time`."""
+        """Whether arc b leaves the state of a just before merge `time`: default transitions are followed to the
+        entry that decides, through as many copies as the two labels have merges.  Arcs met are kept unfolded."""
         born, cut = self._born, self._cut
         while True:
             if cut.get(a << _SHIFT | b, time) < time:
@@ -99,66 +105,80 @@ class MergeAutomaton:
             else:
                 a, time = self._right[a], at  # the state of a is a copy of its right part's
 
-    def _prefixes(self) -> dict[bytes, tuple[int, ...]]:
-        """Token lengths from four on, longest first, by the first four bytes."""
-        by: dict[bytes, set[int]] = {}
-        for label in self._token:
-            if len(label) > 3:
-                by.setdefault(label[:4], set()).add(len(label))
-        return {head: tuple(sorted(found, reverse=True)) for head, found in by.items()}
-
-    def _shorter(self, label: bytes) -> int:
-        """The longest token that is a proper prefix of a token, or -1."""
-        return next((t for k in range(len(label) - 1, 0, -1) if (t := self._token.get(label[:k])) is not None), -1)
+    def _trie(self) -> None:
+        """Tables over bytes: `_next` (node << 8 | byte to node), `_fail`, `_longest` (the longest label that ends in a
+        node, which every byte has) and `_shorter` (the next shorter label that ends a label)."""
+        self._next: dict[int, int] = {}
+        ends, parents = [-1], [(0, 0)]
+        at = {}
+        for label, t in sorted(self._token.items(), key=lambda x: len(x[0])):
+            node = 0
+            for byte in label:
+                key = node << 8 | byte
+                node = self._next.get(key, -1)
+                if node < 0:
+                    node = self._next[key] = len(ends)
+                    ends.append(-1)
+                    parents.append((key >> 8, byte))
+            ends[node], at[t] = t, node
+        depth = [0] * len(ends)
+        for node in range(1, len(ends)):
+            depth[node] = depth[parents[node][0]] + 1
+        self._fail, self._longest = [0] * len(ends), [-1] * len(ends)
+        for node in sorted(range(1, len(ends)), key=depth.__getitem__):
+            parent, byte = parents[node]
+            if parent:
+                self._fail[node] = self._step(self._fail[parent], byte)
+            self._longest[node] = ends[node] if ends[node] >= 0 else self._longest[self._fail[node]]
+        self._shorter = [-1] * len(self.labels)
+        for t, node in at.items():
+            self._shorter[t] = self._longest[self._fail[node]]
+
+    def _step(self, node: int, byte: int) -> int:
+        """The node of the longest suffix that the trie has."""
+        follow = self._next.get
+        while (found := follow(node << 8 | byte, -1)) < 0:
+            if not node:
+                return 0
+            node = self._fail[node]
+        return found
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The accepting path of one pre-split word; longest arcs first, each position is left for dead once."""
-        token = self._token.get
-        whole = token(word)
+        """The path of one pre-split word."""
+        whole = self._token.get(word)
         if whole is not None:
             return (whole,)
-        lengths, arcs, sizes, shorter = self._lengths.get, self._arcs, self._sizes, self.shorter
-        end, pos, prev, t = len(word), 0, -1, -2
-        path: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        while pos < end:
-            if t == -2:  # the longest token from here
-                left = end - pos
-                for k in lengths(word[pos : pos + 4], ()):
-                    if k <= left:
-                        t = token(word[pos : pos + k])
-                        if t is not None:
-                            break
-                else:
-                    t = token(word[pos : pos + 3]) if left > 2 else None
-                    if t is None:
-                        t = token(word[pos : pos + 2]) if left > 1 else None
-                        if t is None:
-                            t = token(word[pos : pos + 1])
-            while t >= 0:
-                if not dead or pos + sizes[t] not in dead:
-                    if prev < 0:
-                        break
-                    key = prev << _SHIFT | t
-                    ok = arcs.get(key)
-                    if ok is None:
-                        if len(arcs) > 600_000:
-                            arcs.clear()
-                        ok = arcs[key] = self._arc_before(prev, t, 1 << 62)
-                    if ok:
-                        break
+        follow, fail, longest, shorter, sizes, arcs = self._next.get, self._fail, self._longest, self._shorter, self._sizes, self._arcs
+        states = [-1] * (len(word) + 1)
+        node, pos = 0, 0
+        for byte in word:
+            pos += 1
+            found = follow(node << 8 | byte, -1)
+            while found < 0 and node:
+                node = fail[node]
+                found = follow(node << 8 | byte, -1)
+            if found < 0:
+                raise ValueError(f"the vocabulary lacks byte {byte}")
+            node, t = found, longest[found]
+            while (prev := states[pos - sizes[t]]) >= 0:
+                key = prev << _SHIFT | t
+                ok = arcs.get(key)
+                if ok is None:
+                    if len(arcs) > 600_000:
+                        arcs.clear()
+                    ok = arcs[key] = self._arc_before(prev, t, 1 << 62)
+                if ok:
+                    break
                 t = shorter[t]
-            if t >= 0:
-                starts.append(pos)
-                path.append(t)
-                pos, prev, t = pos + sizes[t], t, -2
             else:
-                dead.add(pos)
-                pos = starts.pop()
-                t = shorter[path.pop()]
-                prev = path[-1] if path else -1
-        return tuple(path)
+                if pos > sizes[t]:
+                    raise AssertionError("a state that is never entered")
+            states[pos] = t
+        path = []
+        while pos:
+            path.append(states[pos])
+            pos -= sizes[states[pos]]
+        return tuple(reversed(path))
 
     def token_ids(self) -> dict[bytes, int]:
         """Every token that a text can have."""
@@ -174,8 +194,9 @@ class MergeAutomaton:
 
 def merge_words(automaton: MergeAutomaton, longest: int = 256):
     """A function from words to ids by tiktoken's merge loop over the automaton's tokens, for operators whose
-    method isn't the automaton.  Without merge-ordered ids, and for words of over `longest` characters, for
-    which the loop is quadratic, the automaton itself runs."""
+    method isn't the automaton; both give the same ids (tests compare them on either side of `longest`).  Without
+    merge-ordered ids, and for words of over `longest` characters, for which the loop is quadratic, the automaton
+    itself runs."""
     import tiktoken
 
     ranks, born = automaton.token_ids(), automaton.born
@@ -187,12 +208,15 @@ def merge_words(automaton: MergeAutomaton, longest: int = 256):
 
 
 class _Kept(dict):
-    """A bounded cache that fills itself: when it is full it becomes the old generation, from which hits come back."""
+    """A bounded cache that fills itself: when it is full it becomes the old generation, from which hits come back.
+    Keys of more than `longest` characters are made anew each time, so bytes are bounded along with entries."""
 
-    def __init__(self, make, most: int):
-        self.make, self.half, self.old = make, max(1, most // 2), {}
+    def __init__(self, make, most: int, longest: int = 32):
+        self.make, self.half, self.longest, self.old = make, max(1, most // 2), longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
@@ -313,38 +337,32 @@ class Shipped:
 
 
 def _batches(df: DataFrame, shipped: Shipped, columns: list[str], schema: str, rows):
-    """rows(encoder or automaton, batch as lists) gives the output columns of one Arrow batch."""
+    """rows(encoder, list of the second column) gives the further output columns of one Arrow batch."""
 
     def run(batches):
         state = worker_encoder(shipped, "ids")
         for batch in batches:
-            yield pa.RecordBatch.from_pydict(rows(state, *(batch.column(i).to_pylist() for i in range(len(columns)))))
+            yield pa.RecordBatch.from_pydict({columns[0]: batch.column(0)} | rows(state, batch.column(1).to_pylist()))
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(run, f"{columns[0]} {df.schema[columns[0]].dataType.simpleString()}, {schema}")
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids): the token ids of every whole text."""
-
-    def rows(enc, keys, texts):
-        return {id_col: pa.array(keys, pa.int64()), "ids": pa.array([enc.ids(t) for t in texts], pa.list_(pa.int32()))}
-
-    return _batches(df, Shipped(df.sparkSession, path), [id_col, text_col], f"{id_col} long, ids array<int>", rows)
+    rows = lambda enc, texts: {"ids": pa.array([enc.ids(t) for t in texts], pa.list_(pa.int32()))}
+    return _batches(df, Shipped(df.sparkSession, path), [id_col, text_col], "ids array<int>", rows)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, text): the arc labels of the ids, joined; bytes that are no UTF-8 become U+FFFD; null ids: empty."""
-
-    def rows(enc, keys, ids):
-        return {id_col: pa.array(keys, pa.int64()), "text": pa.array([enc.automaton.decode(x or ()) for x in ids], pa.string())}
-
-    return _batches(df, Shipped(df.sparkSession, path), [id_col, ids_col], f"{id_col} long, text string", rows)
+    rows = lambda enc, ids: {"text": pa.array([enc.automaton.decode(x or ()) for x in ids], pa.string())}
+    return _batches(df, Shipped(df.sparkSession, path), [id_col, ids_col], "text string", rows)
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass, so that ids need not travel; returns digests of both."""
 
-    def rows(enc, keys, texts):
+    def rows(enc, texts):
         counts, ids_sha, text_sha = [], [], []
         digits = enc.automaton.digits.__getitem__
         for t in texts:
@@ -352,6 +370,6 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             counts.append(len(ids))
             ids_sha.append(hashlib.sha256(",".join(map(digits, ids)).encode()).hexdigest())
             text_sha.append(hashlib.sha256(enc.automaton.decode(ids).encode()).hexdigest())
-        return {id_col: pa.array(keys, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+        return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
 
-    return _batches(df, Shipped(df.sparkSession, path), [id_col, text_col], f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
+    return _batches(df, Shipped(df.sparkSession, path), [id_col, text_col], "n_tokens long, ids_sha256 string, decoded_sha256 string", rows)

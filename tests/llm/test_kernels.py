@@ -31,11 +31,32 @@ def test_automaton_equals_the_library(both):
     for t in texts:
         want = library.encode(t, add_special_tokens=False).ids
         assert enc.ids(t) == want, repr(t)
-        assert sum(counts.pieces(t)) == len(want)
+        assert sum(counts.pieces(t)) == counts.count(t, token_counts._Table({" a": 1}, counts.words)) == len(want)
         assert automaton.decode(want) == library.decode(want, skip_special_tokens=False)
     assert enc.ids(None) == []
 
 
+def test_words_by_the_merge_loop_on_either_side_of_its_longest(both):
+    library, automaton = both
+    merge = bpe.merge_words(automaton)
+    r = random.Random(9)
+    for n in (1, 2, 31, 32, 33, 128, 255, 256, 257, 258, 900):
+        for letters in ("a", "abcdefghijklmnopqrstuvwxyz", "天地玄黄宇宙洪荒"):
+            word = " " + "".join(r.choice(letters) for _ in range(n - 1))
+            assert list(merge(word)) == list(automaton.encode_word(word.encode())) == library.encode(word, add_special_tokens=False).ids
+
+
+def test_caches_are_bounded_in_bytes():
+    made = []
+    kept = bpe._Kept(lambda k: made.append(k) or len(k), 8, longest=4)
+    assert [kept["x" * n] for n in (5, 5, 3, 3)] == [5, 5, 3, 3] and made == ["xxxxx", "xxxxx", "xxx"]
+    assert all(kept[str(k)] for k in range(100)) and len(kept) <= 4 and len(kept.old) <= 4
+    words = quality._Words(np.zeros(64, np.float32), chars=100)
+    for k in range(20):
+        words.means([f"{k}" * 60 + " tail"])
+    assert words.held <= 200
+
+
 def test_automaton_equals_greedy_merging():
     """Small random merge lists, all words up to length 7."""
     from itertools import product
@@ -97,19 +118,24 @@ def test_matroska_round_trip_and_lacing():
         media.parse(media.mux(b"x" * 64)[:-30])
 
 
-def test_sketch_keys_find_similar_sets():
+def test_sketches_of_similar_sets_share_enough_values():
     r = np.random.default_rng(0)
-    for n in (3, 8, 20, 60, 99, 101, 117, 130, 400):
-        for _ in range(30):
+    padded = lambda s: np.concatenate([s[: neardup.KEPT], np.full(max(0, neardup.KEPT - len(s)), neardup._NONE)])[None]
+    for n in (1, 3, 8, 20, 50, 54, 55, 60, 64, 70, 117, 130, 400):
+        for _ in range(60):
             base = r.integers(0, 1 << 63, n).astype(np.uint64)
             k = int(n * 0.07)
             a = np.unique(base)
             b = np.unique(np.concatenate([base[k:], r.integers(0, 1 << 63, k).astype(np.uint64)]))
             common = len(np.intersect1d(a, b))
             if 100 * common >= 85 * (len(a) + len(b) - common):
-                assert np.intersect1d(neardup.list_keys(a), neardup.list_keys(b)).size
-                sa, sb = (np.frombuffer(neardup.sketch(x), np.uint8) for x in (a, b))
-                assert neardup.plausible(((sa == sb) & (sa > 0)).sum(), ((sa > 0) | (sb > 0)).sum(), len(a) + len(b), 85)
+                shared = len(np.intersect1d(a[: neardup.KEPT], b[: neardup.KEPT]))
+                assert shared >= max(neardup.least_common(len(a), 85), neardup.least_common(len(b), 85))
+                same, filled = neardup.union_overlap(padded(a), padded(b))
+                union = np.union1d(a, b)[: neardup.KEPT]
+                assert filled[0] == len(union) and same[0] == len(np.intersect1d(np.intersect1d(union, a), b))
+                assert neardup.plausible(same, filled, len(a) + len(b), 85)[0]
+    assert neardup.least_common(0, 85) == 0 and neardup.least_common(10, 85) == 9 and 30 < neardup.least_common(1000, 85) < 50
 
 
 def test_classifiers_learn_and_take_empty_texts():
