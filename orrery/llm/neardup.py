@@ -1,57 +1,53 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
-Each whole text becomes a set of hashed word shingles.  Equal sets are one class from then on, its
-smallest id stands for it.  A class keeps the smallest values of its set, by strata of the hash: the
-three smallest of 16 strata, which together key an inverted list each, and a byte of the smallest
-of 512 strata as a sketch.  Sets of few shingles use their prefix as keys instead (the 0.15 n + 1
-smallest values, of which two similar sets always share one); sizes near the border use both.
+Each whole text becomes a set of hashed word shingles; equal sets are one class from then on.  A
+class retains the KEPT smallest values of its set, its sketch.  Two sets of the wanted likeness have
+a least number of retained values in common (see least_common), so it is enough to look at the
+retained values in order of how many sketches have them, rarest first, and to leave out the last
+least - 1 of them: the first common value is among the rest.  These values key the inverted lists;
+a class of whose values too few occur elsewhere has no entry at all, and a value that many sketches
+share is an entry only where nothing rarer is left.
 
 A short list compares all its members.  A long list compares every member with its first and its
-last.  Candidates are filtered by the Jaccard estimate of their union's sketch, five standard errors
-below the threshold, and confirmed on full sets.  Long lists that then hold several components are compared in square
-blocks, so that no link inside them is lost; no list is ever gathered in one task or spelled out in
-pairs.  Components come from alternating large-star and small-star steps.
-
-Null texts and texts without words have an empty set and link with nothing.  Repeated rows link with
-each other, through their ids.  Very long texts are hashed whole.
+last.  Candidates are filtered by the Jaccard estimate from the bottom-k sketch of their union, five
+standard errors below the threshold, and confirmed on full sets.  Long lists that then hold several
+components are compared in square blocks, so that no link inside them is lost; no list is ever
+gathered in one task or spelled out in pairs.  Components come from alternating large-star and
+small-star steps.
+
+Null texts and texts without words have an empty set and link with nothing.  Repeated rows are one
+class.  Rows that share an id but not a text are documents of their own, with that id.  Rows without
+an id link with nothing, have no component and are kept.  Ids must be whole numbers.  Texts of any
+length are hashed whole.  Ties among retained values of one frequency go by value.  An empty table
+gives an empty one, and further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-STRATA, DEPTH, BINS = 16, 3, 512
-
-
-_own_folder = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where all executors and the driver can read and write; a folder of our own only where the
-    session names none, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
+from ..sources.tables import forget, written
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: a cut in the lineage that outlives executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: Values that a sketch retains.
+KEPT = 64
+#: Bound of the chance that a linked pair has fewer retained values in common than least_common says.
+MISSED = 1e-6
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Shingles:
-    """Sorted distinct 64-bit hashes of a text's word shingles; words keep their hashes in a bounded cache."""
+    """Sorted distinct 64-bit hashes of a text's word shingles; words of at most `longest` bytes keep their hashes
+    in a cache of at most `most` words."""
 
-    def __init__(self, width: int = 5, most: int = 500_000):
-        self.width, self.most, self.known = width, most, {}
+    def __init__(self, width: int = 5, most: int = 500_000, longest: int = 32):
+        self.width, self.most, self.longest, self.known = width, most, longest, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space alone
@@ -59,11 +55,11 @@ class Shingles:
             return np.zeros(0, np.uint64)
         if len(self.known) > self.most:
             self.known = {}
-        known = self.known
+        known, long = self.known, {}
         for w in words:
             if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                (known if len(w) <= self.longest else long)[w] = xxhash.xxh64_intdigest(w)
+        h = np.fromiter(map((known | long if long else known).__getitem__, words), np.uint64, len(words))
         width = min(self.width, len(h))
         n = len(h) - width + 1
         out = np.full(n, width, np.uint64)
@@ -75,32 +71,47 @@ class Shingles:
         return np.unique(out)
 
 
-def list_keys(s: np.ndarray, percent: int = 85, few: int = 100) -> np.ndarray:
-    """Keys of the inverted lists of a sorted set."""
-    n, keys = len(s), []
-    if n and n * percent <= few * 100:
-        keys.append(s[: n - -(-n * percent // 100) + 1])
-    if n >= few:
-        strata = s & np.uint64(STRATA - 1)
-        order = np.argsort(strata, kind="stable")
-        edges = np.searchsorted(strata[order], np.arange(STRATA + 1))
-        for k in range(STRATA):
-            low = s[order[edges[k] : min(edges[k] + DEPTH, edges[k + 1])]]
-            if len(low):
-                keys.append(np.array([xxhash.xxh64_intdigest(low.tobytes(), k + 1)], np.uint64))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-
-
-def sketch(s: np.ndarray) -> bytes:
-    """By residue modulo BINS, a byte (1 to 255) of the smallest value; 0: no value."""
-    out = np.zeros(BINS, np.uint8)
-    bins, first = np.unique(s & np.uint64(BINS - 1), return_index=True)  # s is sorted: the first is the smallest
-    out[bins.astype(np.int64)] = (s[first] >> np.uint64(12)) % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+def least_common(n: int, percent: int) -> int:
+    """How many retained values a set of n values has in common with any set of the wanted likeness.
+
+    A set so small that its partners are retained whole shares that percentage of its values, for certain.  Else, of
+    the KEPT smallest values of the union each is common with the chance of the likeness at least: the number that
+    falls short with chance MISSED or less.  Both sketches have all of these."""
+    certain = -(-n * percent // 100)
+    if 100 * n <= percent * KEPT:
+        return certain
+    j, below = percent / 100, 0.0
+    for c in range(KEPT + 1):
+        below += math.comb(KEPT, c) * j**c * (1 - j) ** (KEPT - c)
+        if below > MISSED:
+            return max(1, min(certain, c))
+    return certain
+
+
+def union_overlap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of two matrices of sketches (ascending, filled up with _NONE): how many of the smallest values of the
+    union, KEPT at most, both have, and how many there are."""
+    z = np.concatenate([a, b], 1)
+    z.sort(1)
+    new = z != _NONE
+    twin = (z[:, 1:] == z[:, :-1]) & new[:, 1:]
+    new[:, 1:] &= ~twin
+    inside = new.cumsum(1) <= KEPT
+    return (twin & inside[:, 1:]).sum(1), (new & inside).sum(1)
+
+
+def matrix(column) -> np.ndarray:
+    """Sketches of an Arrow list column as rows of KEPT values."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.full((len(sizes), KEPT), _NONE)
+    out[np.arange(KEPT) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return out
 
 
 def plausible(same: np.ndarray, filled: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the share of equal bins among the union's filled bins allows the link: at most five standard
+    """Whether the share of common values among the `filled` smallest of the union allows the link: at most five standard
     errors (of a draw without replacement from the union) below the threshold."""
     j = percent / 100
     union = np.maximum(sizes / (1 + j), 1)
@@ -109,7 +120,8 @@ def plausible(same: np.ndarray, filled: np.ndarray, sizes: np.ndarray, percent:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 85) -> DataFrame:
-    """(id, n, d1, d2, keys, sketch): set size, 128-bit digest of the set, list keys and sketch."""
+    """(id, n, d1, d2, least, sketch): set size, 128-bit digest of the set, least_common and the retained values."""
+    table = [least_common(n, percent) for n in range(2 * KEPT)]
 
     def run(batches):
         shingles = Shingles(width)
@@ -118,62 +130,85 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent:
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 digest = xxhash.xxh128_digest(s.tobytes())
-                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), list_keys(s, percent).view(np.int64), sketch(s)))
+                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), table[min(len(s), 2 * KEPT - 1)], s[:KEPT].view(np.int64)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.int64())} | {n: pa.array(c, t) for n, c, t in zip(("n", "d1", "d2", "keys", "sketch"), cols, kinds, strict=True)})
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | {n: pa.array(c, t) for n, c, t in zip(("n", "d1", "d2", "least", "sketch"), cols, kinds, strict=True)})
+
+    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, d1 long, d2 long, least int, sketch array<long>")
+
+
+def classes(base: DataFrame) -> DataFrame:
+    """(node, id, copies, n, d1, d2, least, sketch): one row per distinct set, with its smallest id.  To be written at
+    once: node only tells classes apart within what is written."""
+    grouped = base.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "least", "sketch")])
+    return grouped.withColumn("node", F.monotonically_increasing_id())
 
-    return df.select(id_col, text_col).mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>, sketch binary")
+
+def list_entries(reps: DataFrame) -> DataFrame:
+    """(node, key): of each sketch the values that occur in others too, rarest first, without the last least - 1."""
+    values = reps.select("node", F.explode("sketch").alias("key"))
+    shared = values.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = values.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("own"))
+    kept = own.join(reps.select("node", "least"), "node").where(F.size("own") >= F.col("least"))
+    return kept.select("node", F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("least") + 1)).alias("e")).select("node", "e.key")
 
 
 def candidate_pairs(postings: DataFrame, lists: DataFrame, short: int) -> DataFrame:
     """Distinct (a, b), a < b: all pairs of short lists, first and last against all of long lists."""
     small = postings.join(lists.where(F.col("len") <= short).select("key"), "key")
-    within = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    within = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     long = postings.join(lists.where(F.col("len") > short).select("key", "first", "last"), "key")
-    star = long.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("last").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b")
+    star = long.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("last").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b")
     return within.unionByName(star).distinct()
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and union sketch allow the link."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches):
         for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (3, 4))
-            same, filled = ((sa == sb) & (sa > 0)).sum(1), ((sa > 0) | (sb > 0)).sum(1)
+            same, filled = union_overlap(matrix(batch.column(3)), matrix(batch.column(4)))
             keep = plausible(same, filled, batch.column(2).to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = written(texts.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    first = pairs.join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = first.join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets have 100 * intersection >= percent * union, as a written table.  A text stands
+    for a class if it has the class's id and digest."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = reps.select("node", "id", "d1").join(nodes, "node", "left_semi")
+    found = texts.join(wanted.hint("merge"), "id").select("id", "node", "d1", "text", F.xxhash64("text").alias("h"))
+    needed = written(found.dropDuplicates(["id", "node", "h"]).select("node", "d1", "text"))
+    side = lambda x: needed.select(F.col("node").alias(x), F.col("d1").alias(f"d{x}"), F.col("text").alias(f"t{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "da", "db", "ta", "tb")
 
     def run(batches):
-        shingles, last, sa = Shingles(width), None, None
+        shingles = Shingles(width)
+        digest = lambda s: int.from_bytes(xxhash.xxh128_digest(s.tobytes())[:8], "little", signed=True)
+        last, sa, da = None, None, None
         for batch in batches:
             keep = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, sa = a, shingles(ta)
+            for a, d, e, ta, tb in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                if (a, ta) != last:
+                    last, sa = (a, ta), shingles(ta)
+                    da = digest(sa)
                 sb = shingles(tb)
                 common = len(np.intersect1d(sa, sb, assume_unique=True))
-                keep.append(100 * common >= percent * (len(sa) + len(sb) - common))
+                keep.append(100 * common >= percent * (len(sa) + len(sb) - common) and da == d and digest(sb) == e)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    out = written(both.mapInArrow(run, "a long, b long"))
+    forget(needed)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every node with an edge; root is the smallest id of its component."""
+    """(node, root) of every node with an edge; root is the smallest node of its component."""
     state = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     seen = None
     while True:
@@ -182,74 +217,89 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u > v").distinct()
-        state = written(small)
+        before, state = state, written(small)
+        forget(before)
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    return state.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
+    found = state.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
 def block_pairs(members: DataFrame, percent: int, block: int = 256) -> DataFrame:
     """Pairs of different components inside long lists that pass the sketch filter, found block against block.
 
-    members: (key, len, id, root, n, sketch, open), where open holds all keys of the id's open lists; a pair
-    comes from the smallest key that both have.  A list of m members makes (m / block)^2 / 2 squares; each row
+    members: (key, len, node, root, n, least, sketch, open), where open holds all keys of the node's open lists; a
+    pair comes from the smallest key that both have.  A list of m members makes (m / block)^2 / 2 squares; each row
     goes to m / block of them, and a square returns only the pairs that pass."""
     count = F.ceil(F.col("len") / block).cast("int")
-    cell = F.pmod(F.xxhash64("id"), count.cast("long")).cast("int")
+    cell = F.pmod(F.xxhash64("node"), count.cast("long")).cast("int")
     squares = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.least(j, cell).alias("r"), F.greatest(j, cell).alias("c")))
-    dealt = members.withColumn("cell", cell).withColumn("square", F.explode(squares)).select("key", "square.r", "square.c", "cell", "id", "root", "n", "sketch", "open")
+    dealt = members.withColumn("cell", cell).withColumn("square", F.explode(squares)).select("key", "square.r", "square.c", "cell", "node", "root", "n", "least", "sketch", "open")
 
     def compare(table: pa.Table) -> pa.Table:
         key, r, c = (table[x][0].as_py() for x in ("key", "r", "c"))
-        ids, roots, sizes, cells = (table[x].to_numpy() for x in ("id", "root", "n", "cell"))
-        sigs = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-        full = (sigs > 0).astype(np.float32)
+        nodes, roots, sizes, least, cells = (table[x].to_numpy() for x in ("node", "root", "n", "least", "cell"))
+        kept = matrix(table["sketch"])
+        known, codes = np.unique(kept, return_inverse=True)
+        has = np.zeros((len(kept), len(known)), np.float32)
+        has[np.arange(len(kept))[:, None], codes.reshape(kept.shape)] = 1
+        has[:, known == _NONE] = 0
         opens = table["open"].to_pylist()
         left, right = (np.flatnonzero(cells == r), np.flatnonzero(cells == c))
-        both = full[left] @ full[right].T
-        per = full.sum(1)
+        common = has[left] @ has[right].T
         out_a, out_b = [], []
         for k, i in enumerate(left):
             n, m = sizes[i], sizes[right]
-            maybe = (roots[right] != roots[i]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+            maybe = (roots[right] != roots[i]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (common[k] >= np.maximum(least[i], least[right]))
             if r == c:
-                maybe &= ids[right] > ids[i]
-            at = np.flatnonzero(maybe)
-            if not len(at):
+                maybe &= nodes[right] > nodes[i]
+            j = right[maybe]
+            if not len(j):
                 continue
-            j = right[at]
-            same = ((sigs[j] == sigs[i]) & (sigs[i] > 0)).sum(1)
-            for x in j[plausible(same, per[i] + per[j] - both[k, at], sizes[i] + sizes[j], percent)]:
+            same, filled = union_overlap(np.repeat(kept[i : i + 1], len(j), 0), kept[j])
+            for x in j[plausible(same, filled, sizes[i] + sizes[j], percent)]:
                 if min(set(opens[i]).intersection(opens[x])) == key:
-                    out_a.append(min(ids[i], ids[x])), out_b.append(max(ids[i], ids[x]))
+                    out_a.append(min(nodes[i], nodes[x])), out_b.append(max(nodes[i], nodes[x]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return dealt.groupBy("key", "r", "c").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, short: int = 8) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every row."""
-    base = written(sketches(df, id_col, text_col, width, percent))
-    classes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    reps = written(base.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "d1", "d2"]))
-    postings = reps.select("id", F.explode("keys").alias("key"))
-    lists = written(postings.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("len")).where("len > 1"))
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = written(estimated(candidate_pairs(postings, lists, short), reps, percent))
-    edges = written(confirmed(pairs, texts, width, percent))
+def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, short: int) -> DataFrame:
+    """(node, root) of every class that links with another."""
+    entries = written(list_entries(reps))
+    lists = written(entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("len")).where("len > 1"))
+    pairs = written(estimated(candidate_pairs(entries, lists, short), reps, percent))
+    edges = confirmed(pairs, reps, texts, width, percent)
     roots = components(edges)
     long = lists.where(F.col("len") > short).select("key", "len")
-    labelled = postings.join(long, "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    labelled = entries.join(long, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_lists = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     opened = written(labelled.join(open_lists, "key"))
-    per_id = reps.select("id", "n", "sketch").join(opened.groupBy("id").agg(F.collect_list("key").alias("open")), "id")
-    left = written(block_pairs(opened.join(per_id, "id"), percent).join(pairs, ["a", "b"], "left_anti"))
+    per_node = reps.select("node", "n", "least", "sketch").join(opened.groupBy("node").agg(F.collect_list("key").alias("open")), "node")
+    left = written(block_pairs(opened.join(per_node, "node"), percent).join(pairs, ["a", "b"], "left_anti"))
     if not left.isEmpty():
-        edges = edges.unionByName(written(confirmed(left, texts, width, percent)))
-        roots = components(edges)
-    found = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
-    out = base.select("id", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+        roots = components(edges.unionByName(confirmed(left, reps, texts, width, percent)))
+    forget(entries, lists, pairs, opened, left)
+    return roots
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, short: int = 8) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for every row."""
+    base = written(sketches(df, id_col, text_col, width, percent))
+    reps = written(classes(base))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    roots = linked(reps, texts, width, percent, short)
+    joined = reps.select("node", "id").join(roots, "node")
+    named = joined.join(joined.groupBy("root").agg(F.min("id").alias("component")), "root").select("node", "component")
+    found = written(reps.select("node", "d1", "d2", "id", "copies").join(named, "node", "left").select("d1", "d2", "copies", F.coalesce("component", "id").alias("component")))
+    # classes with over 1/4096 of all rows, of which there are less than 4096, are broadcast; no class fills one task
+    total = found.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    large = F.broadcast(found.where(F.col("copies") > total / 4096).select("d1", "d2", "component"))
+    rows = base.select("id", "n", "d1", "d2")
+    few = rows.join(large, ["d1", "d2"], "left_anti").join(found.where(F.col("copies") <= total / 4096).select("d1", "d2", "component"), ["d1", "d2"], "left")
+    out = few.unionByName(rows.join(large, ["d1", "d2"]))
+    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
