@@ -1,9 +1,27 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-_STEP = """
-    SELECT d.doc_id, d.shards, j AS b,
-           CAST(floor((j + 1) * (2147483648.0 / CAST((nk >> 33) + 1 AS DOUBLE))) AS BIGINT) AS j, nk AS k
-    FROM (SELECT *, CAST((CAST(k AS HUGEINT) * 2862933555777941757 + 1) % 18446744073709551616 AS HUGEINT) AS nk FROM hops WHERE j < shards) d
+_JUMP_SHARDS = """
+WITH RECURSIVE table_steps AS (
+    SELECT i AS byte, 0 AS step, CAST(i AS BIGINT) AS c FROM range(256) t(i)
+    UNION ALL SELECT byte, step + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM table_steps WHERE step < 8
+), crc_table AS (SELECT list(c ORDER BY byte) AS t FROM table_steps WHERE step = 8),
+texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+sized AS (
+    SELECT doc_id, strlen(text) + 1 AS size,
+        list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(('0x' || h) AS BIGINT)) AS bytes, t FROM texts, crc_table
+), rows AS (
+    SELECT doc_id, CAST(size AS BIGINT) AS size,
+        xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS INT) + 1])), 4294967295) AS crc FROM sized
+), hops AS (
+    SELECT doc_id, n, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j, CASE WHEN doc_id < 0 THEN doc_id + 18446744073709551616 ELSE CAST(doc_id AS HUGEINT) END AS k
+    FROM (SELECT DISTINCT doc_id FROM documents) d, (VALUES (16), (17)) s(n)
+    UNION ALL
+    SELECT doc_id, n, j, CAST(floor(CAST(j + 1 AS DOUBLE) * (2147483648.0 / CAST(nk // 8589934592 + 1 AS DOUBLE))) AS BIGINT), nk
+    FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS nk FROM hops WHERE j < n) x
+), landed AS (SELECT doc_id, CAST(max(CASE WHEN n = 16 THEN b END) AS INT) AS shard, CAST(max(CASE WHEN n = 17 THEN b END) AS INT) AS grown_shard FROM hops WHERE j >= n GROUP BY doc_id)
+SELECT r.doc_id, r.size, CAST(r.crc AS BIGINT) AS text_crc32, 'key' AS law, shard,
+    CAST(row_number() OVER (PARTITION BY shard ORDER BY ((r.doc_id % 1021) + 1021) % 1021, r.doc_id, r.crc, r.size) - 1 AS BIGINT) AS slot, grown_shard
+FROM rows r JOIN landed l ON l.doc_id = r.doc_id
 """
 
 _NEAR_PAIRS = """
@@ -23,4 +41,4 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(min(r.r) AS BIGINT
 FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
-ORACLES = {"op9_minhash": _NEAR_PAIRS}
+ORACLES = {"op8_jump_sharding": _JUMP_SHARDS, "op9_minhash": _NEAR_PAIRS}

@@ -3,10 +3,13 @@
 A key's shard follows from the key and the number of shards alone; one more shard takes only the
 rows that move into it.  The published generator (a 64-bit linear congruential one) is computed in
 two 32-bit halves, as SQL integers must not overflow.  Slots are numbered within a shard without
-one task per shard: rows are numbered within (shard, block) and blocks start at a running count.
+one task per shard: rows are numbered within (shard, block), a block being the key modulo a fixed
+number, and blocks start at a running count.
 
-Null keys hash like 0 of a missing key; null texts have size 1; rows with equal keys lie in one
-shard, ordered by their texts' checksum; an empty table stays empty.
+Null keys hash like key 0, keys that are no whole numbers by their 64-bit hash; null texts have
+size 1; texts of any length are summed whole; rows with equal keys lie in one shard, ordered by
+their texts' checksum and size; equal rows get slots in a row; an empty table stays empty; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -52,16 +55,26 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"]).cast("int")
 
 
-def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 100_000) -> DataFrame:
-    """(id_col, size, text_crc32, law, shard, slot, grown_shard); slots run from 0 in every shard."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), jump_hash(F.col(id_col), shards).alias("shard"), jump_hash(F.col(id_col), shards + 1).alias("grown_shard"))
-    blocks = max(4, -(-df.count() // (block_rows * shards)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"))
-    counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+def number(df: DataFrame, id_col: str) -> Column:
+    """An id as a long; ids that are no whole numbers are hashed."""
+    kind = df.schema[id_col].dataType.typeName()
+    return F.col(id_col).cast("long") if kind in ("byte", "short", "integer", "long") else F.xxhash64(id_col)
+
+
+def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", blocks: int = 1021) -> DataFrame:
+    """(id_col, size, text_crc32, law, shard, slot, grown_shard); slots run from 0 in every shard.
+
+    Equal rows are counted before anything is ordered, so an id that fills a third of the table is one row until its
+    slots are dealt.  Slots follow the rows alone, not how they are partitioned."""
+    text, key = F.coalesce(F.col(text_col), F.lit("")), number(df, id_col)
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(key, F.lit(0).cast("long")).alias("key"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
+    distinct = rows.groupBy("id", "key", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
+    placed = distinct.select("*", jump_hash(F.col("key"), shards).alias("shard"), jump_hash(F.col("key"), shards + 1).alias("grown"), F.pmod("key", F.lit(blocks)).cast("int").alias("block"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "block").orderBy(id_col, "text_crc32", "size")
-    numbered = rows.withColumn("nth", F.row_number().over(within).cast("long") - 1)
-    out = numbered.join(starts, ["shard", "block"])
-    return out.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("nth")).alias("slot"), "grown_shard")
+    starts = placed.groupBy("shard", "block").agg(F.sum("n").alias("rows")).select("shard", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("shard", "block").orderBy("id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("nth", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(starts), ["shard", "block"])  # shards * blocks rows at most
+    # copies are dealt their slots in two steps, so that no array is longer than 65,536
+    lots = numbered.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 65_536))))
+    dealt = lots.withColumn("copy", F.explode(F.sequence(F.col("lot") * 65_536, F.least(F.col("n") - 1, F.col("lot") * 65_536 + 65_535))))
+    return dealt.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", (F.col("start") + F.col("nth") + F.col("copy")).alias("slot"), F.col("grown").alias("grown_shard"))
