@@ -11,10 +11,13 @@ Runs and chunks meet by two 64-bit hashes of their lines in one hash aggregate t
 so one that fills a third of all rows is reduced before it is shuffled.  First places are gathered per document,
 and the texts, shuffled once, lose what isn't first; nothing is joined on a run.
 
-Rows with the same id must be equal; each keeps its row.  A row without id keeps its text and counts as no one's
-first occurrence.  A null text stays null and an empty text empty; a document of which nothing is left keeps its
-row with an empty text.  A run that overlaps its own copy (lines over and over) leaves what the copy doesn't
-cover.  A document's lines keep their order and the newlines between them.  Further columns of the input are kept.
+A document is an id and a text: equal rows are one document and each keeps its row, rows that share an id but not
+a text are told apart by 20 bits of the text's hash, which also order them.  Ids that are no whole numbers are
+hashed, and the hash is their order.  A row without id keeps its text and counts as no one's first occurrence.  A
+null text stays null and an empty text empty; a document of which nothing is left keeps its row with an empty
+text.  A run that overlaps its own copy (lines over and over) leaves what the copy doesn't cover.  A document's
+lines keep their order and the newlines between them.  Texts of any length are cut whole.  An empty table gives an
+empty one.  Further columns of the input are kept under any name; only a column `_chunks` is replaced.
 """
 
 from __future__ import annotations
@@ -22,12 +25,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sharding import number
+
 #: Places within a document are counted below this.
 PLACES = 1 << 31
+#: Texts that share an id are told apart by hashes below this.
+VARIANTS = 1 << 20
 #: The same for runs and chunks in one: chunks are counted from CHUNKS on.
 SPOTS, CHUNKS = 1 << 41, 1 << 40
 
 
+def document(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """The number of a document, in the order of ids; null without id."""
+    return number(df, id_col).cast("decimal(20,0)") * F.lit(VARIANTS).cast("decimal(8,0)") + F.pmod(F.xxhash64(text_col), F.lit(VARIANTS))
+
+
 def _settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
     # a generator of one row: else the optimizer moves the value into the lambdas, which then make it anew for each element
     return rows.select("*", F.explode(F.array(value)).alias(name))
@@ -124,7 +136,7 @@ def _span(s: Column, bits: int) -> tuple[Column, Column]:
 def first_places(df: DataFrame, id_col: str, text_col: str, window: int = 2, modulus: int = 3, passage_words: int = 50) -> DataFrame:
     """(_id, _firsts): per document the places of the runs and chunks that occur there first."""
     bits = passage_words.bit_length()
-    lined = _settled(df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "lines", F.split("_t", "\n")).drop("_t")
+    lined = _settled(df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(document(df, id_col, text_col).cast("decimal(28,0)").alias("_id"), F.col(text_col).alias("_t")), "lines", F.split("_t", "\n")).drop("_t")
     ready = _settled(_runs(_cut(lined, window, modulus, passage_words), passage_words), "marks", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))).drop("lines")
 
     def keyed(kind: int, place: Column, first: Column, last: Column) -> Column:
@@ -140,11 +152,12 @@ def first_places(df: DataFrame, id_col: str, text_col: str, window: int = 2, mod
 
     parts = F.concat(F.transform("spans", run), F.filter(F.transform("cuts", chunk), lambda c: c.isNotNull()))
     rows = ready.select("_id", F.inline(parts))
-    at = F.col("_id").cast("decimal(20,0)") * F.lit(SPOTS).cast("decimal(13,0)") + F.col("place")
+    # an id of 63 bits, 20 bits of its text and 41 of the place are less than 10^38
+    at = F.col("_id").cast("decimal(38,0)") * F.lit(SPOTS).cast("decimal(13,0)") + F.col("place")
     first = rows.select("k", "l", at.cast("decimal(38,0)").alias("at")).groupBy("k", "l").agg(F.min("at").alias("at"))
     spots = F.lit(SPOTS).cast("decimal(38,0)")
     placed = first.select("at", F.pmod("at", spots).cast("long").alias("place"))
-    owner = F.call_function("div", F.col("at") - F.col("place"), spots).cast(df.schema[id_col].dataType)
+    owner = ((F.col("at") - F.col("place")) / spots).cast("decimal(28,0)")
     return placed.select(owner.alias("_id"), "place").groupBy("_id").agg(F.collect_list("place").alias("_firsts"))
 
 
@@ -152,7 +165,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     """df with its texts cut down to what occurs first, columns in their order, and `_chunks`, the number of chunks of which lines are kept."""
     bits = passage_words.bit_length()
     firsts = first_places(df, id_col, text_col, window, modulus, passage_words)
-    packed = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_t"))
+    columns = [c for c in df.columns if c != "_chunks"]
+    packed = df.select(F.struct(*columns).alias("_row"), document(df, id_col, text_col).cast("decimal(28,0)").alias("_key"), F.col(text_col).alias("_t"))
     joined = packed.join(firsts, F.col("_key") == F.col("_id"), "left").drop("_id")
     lined = _settled(joined, "lines", F.split("_t", "\n")).drop("_t")
     ready = _runs(_cut(lined, window, modulus, passage_words), passage_words)
@@ -180,4 +194,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
     chunks = F.size(F.array_distinct(F.transform("kept", lambda i: F.get("chunk_of", i))))
     none = F.col(f"_row.`{text_col}`").isNull()
-    return chunk_of.select(*[F.when(~none, text).alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in df.columns], F.when(none, 0).otherwise(chunks).alias("_chunks"))
+    return chunk_of.select(*[F.when(~none, text).alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in columns], F.when(none, 0).otherwise(chunks).alias("_chunks"))
