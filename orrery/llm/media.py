@@ -5,8 +5,12 @@ laced simple blocks and cues.  The parser reads variable-length element ids and
 sizes too), all four lacing modes, block groups, and cues, and returns one packet per frame with
 track, timestamp, key flag and byte range.
 
-A null payload gives a null file; an empty payload a file without frames; any length streams through
-in one pass.  Damaged bytes raise ValueError with the offset.
+Null texts count as empty, and an empty text is a payload of 64 zeros.  A payload of any length is one
+file in memory at a time, with as many clusters as it needs; equal texts give equal files.  Rows are
+handled one by one and batches are cut by bytes, so many long texts in a row don't add up.  Repeated
+rows give repeated rows, an empty table gives an empty one, ids of any type (null too) come back as
+they are, and further columns, whatever their names, are not read.  Damaged bytes raise ValueError
+with the offset.
 """
 
 from __future__ import annotations
@@ -240,13 +244,21 @@ def padded(raw: bytes, unit: int = 64) -> bytes:
     return raw + bytes(-len(raw) % unit if raw else unit)
 
 
-def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, media): every text's padded UTF-8 bytes as a Matroska file; null texts count as empty."""
+def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", portion: int = 1 << 24) -> DataFrame:
+    """(id_col, n_bytes, media): every text's padded UTF-8 bytes as a Matroska file."""
 
     def run(batches):
         for batch in batches:
-            raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "n_bytes": pa.array([len(r) for r in raws], pa.int64()), "media": pa.array([mux(padded(r)) for r in raws], pa.binary())})
+            keys, at, held, lengths, files = batch.column(0), 0, 0, [], []
+            texts = batch.column(1)
+            for k in range(len(texts)):
+                raw = (texts[k].as_py() or "").encode()
+                lengths.append(len(raw))
+                files.append(mux(padded(raw)))
+                held += len(files[-1])
+                if k + 1 == len(texts) or held > portion:
+                    yield pa.RecordBatch.from_pydict({id_col: keys.slice(at, len(files)), "n_bytes": pa.array(lengths, pa.int64()), "media": pa.array(files, pa.binary())})
+                    at, held, lengths, files = k + 1, 0, [], []
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
@@ -265,26 +277,49 @@ def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     return df.select(id_col, media_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} {'boolean' if n == 'key' else 'long'}" for n in names))
 
 
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def describe(data: bytes) -> tuple[int, str, int, int, str, str]:
+    """FEATURES of a file, from the samples and packets that are read back from it."""
+    parsed = parse(data)
+    payload = b"".join(data[p.offset : p.offset + p.size] for p in parsed.packets)
+    samples = np.frombuffer(payload, np.uint8)
+    level = int(np.sqrt(np.mean((samples.astype(np.float64) - 128) ** 2)) * 1000) if len(samples) else 0
+    crossings = int(np.count_nonzero((samples[1:] >= 128) != (samples[:-1] >= 128)))
+    last = parsed.packets[-1].timestamp if parsed.packets else -1
+    feature = f"packets={len(parsed.packets)};clusters={len(parsed.clusters)};cues={len(parsed.cues)};last_ms={last};rms={level};crossings={crossings};peak={int(samples.max()) if len(samples) else 0}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
+
+
+def _described(found: list[tuple]) -> dict:
+    cols = list(zip(*found, strict=True)) if found else [()] * 6
+    fields = [x.split() for x in FEATURES.split(", ")]
+    return {n: pa.array(c, pa.int64() if k == "long" else pa.string()) for (n, k), c in zip(fields, cols, strict=True)}
+
+
 def features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Reads (id_col, n_bytes, media) back and describes the samples and packets."""
 
-    def one(data: bytes) -> tuple[int, str, int, int, str, str]:
-        parsed = parse(data)
-        payload = b"".join(data[p.offset : p.offset + p.size] for p in parsed.packets)
-        samples = np.frombuffer(payload, np.uint8)
-        level = int(np.sqrt(np.mean((samples.astype(np.float64) - 128) ** 2)) * 1000) if len(samples) else 0
-        crossings = int(np.count_nonzero((samples[1:] >= 128) != (samples[:-1] >= 128)))
-        last = parsed.packets[-1].timestamp if parsed.packets else -1
-        feature = f"packets={len(parsed.packets)};clusters={len(parsed.clusters)};cues={len(parsed.cues)};last_ms={last};rms={level};crossings={crossings};peak={int(samples.max()) if len(samples) else 0}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
-
     def run(batches):
         for batch in batches:
-            found = [one(data) for data in batch.column(2).to_pylist()]
-            cols = list(zip(*found, strict=True)) if found else [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "n_bytes": batch.column(1)} | {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
+            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "n_bytes": batch.column(1)} | _described([describe(x.as_py()) for x in batch.column(2)]))
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, "n_bytes", "media").mapInArrow(run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select(id_col, "n_bytes", "media").mapInArrow(run, f"{id_col} {kind}, n_bytes long, {FEATURES}")
+
+
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """features(write_media(df)) in one map: each file is written, read back and described before the next, so the
+    files, which are as large as the table, never travel between Spark and Python."""
+
+    def run(batches):
+        for batch in batches:
+            lengths, found = [], []
+            for text in batch.column(1):
+                raw = (text.as_py() or "").encode()
+                lengths.append(len(raw))
+                found.append(describe(mux(padded(raw))))
+            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "n_bytes": pa.array(lengths, pa.int64())} | _described(found))
+
+    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_bytes long, {FEATURES}")
