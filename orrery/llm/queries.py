@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from . import bpe, langid, line_dedup, media, neardup, packing, quality, sharding, simhash, token_counts
 
 
@@ -48,11 +49,12 @@ def op5_line_dedup(spark, sf_dir):
 
 
 def op6_simhash(spark, sf_dir):
-    return simhash.near_edits(_documents(spark, sf_dir))
+    rows = written(simhash.near_edits(_documents(spark, sf_dir)))  # small rows, read by the search and for the result
+    return simhash.with_neighbours(rows, F.col("doc_id") % 100 == 0).drop("fp")
 
 
 def op7_matroska(spark, sf_dir):
-    return media.features(media.write_media(_documents(spark, sf_dir)))
+    return media.round_trip(_documents(spark, sf_dir))
 
 
 def op8_jump_sharding(spark, sf_dir):

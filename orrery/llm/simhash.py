@@ -10,7 +10,9 @@ one table per choice of `extra` blocks holds the fingerprints by those bits.  Tw
 within the radius agree on at least `extra` whole blocks, so they meet in a table.
 
 Null texts count as empty; a text without words has fingerprint 0; equal texts have equal
-fingerprints; any text length is covered; rows with equal ids are ordered by their text.
+fingerprints; any text length is covered; rows with equal ids are ordered by their text, rows without
+id come first; repeated rows are handled one by one; an empty table gives an empty one; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import written
+
 BITS, LANES = 64, 4
 WORDS = BITS // LANES
 #: Terms weigh 3 at most and the top lane of a signed long holds 32,767.
@@ -55,29 +59,43 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
-def id_ranges(df: DataFrame, id_col: str, ranges: int = 256) -> tuple[list, list[tuple[int, object]]]:
-    """Quantiles of the ids, and the first id of every range between them that has rows; at most `ranges` of each."""
-    bounds = sorted(set(df.select(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []))
-    firsts = df.select(id_col, _range(id_col, bounds).alias("r")).where(F.col(id_col).isNotNull()).groupBy("r").agg(F.min(id_col).alias("first"))
-    return bounds, sorted((x["r"], x["first"]) for x in firsts.collect())
-
-
-def _range(id_col: str, bounds: list) -> Column:
-    return F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(id_col))) if bounds else F.lit(0)
+def id_ranges(df: DataFrame, id_col: str, text_col: str, quantiles: int = 255, portion: int = 1 << 25) -> tuple[list, int, DataFrame]:
+    """Bounds of the ids, the number of equal parts between two bounds, so that a part has about `portion` bytes of
+    text, and a table of the first id of each part that has rows with the part before it (of the first: the last).
+    The table has one small row per `portion` of the input."""
+    steps = [k / (quantiles + 1) for k in range(1, quantiles + 1)]
+    row = df.agg(F.percentile_approx(id_col, steps, 10_000).alias("q"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    bounds = sorted({row["lo"], row["hi"], *(row["q"] or [])} - {None})
+    numeric = isinstance(row["lo"], (int, float))
+    parts = max(1, -(-(row["bytes"] or 0) // (portion * (quantiles + 1)))) if numeric else 1
+    firsts = df.where(F.col(id_col).isNotNull()).groupBy(_part(id_col, bounds, parts).alias("r")).agg(F.min(id_col).alias("first"))
+    order = Window.orderBy("r")
+    before = F.coalesce(F.lag("r").over(order), F.max("r").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return bounds, parts, firsts.select(F.col("first").alias("_first"), before.alias("_before"))
+
+
+def _part(id_col: str, bounds: list, parts: int) -> Column:
+    """The number of the part that an id lies in; ids without value are in part 0."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    edges = F.array(*[F.lit(b) for b in bounds])
+    coarse = F.greatest(F.array_size(F.filter(edges, lambda b: b <= F.col(id_col))) - 1, F.lit(0))
+    if parts == 1:
+        return F.coalesce(coarse, F.lit(0)).cast("long")
+    low, high = F.get(edges, coarse).cast("double"), F.coalesce(F.get(edges, coarse + 1), F.get(edges, coarse)).cast("double")
+    fine = F.coalesce(F.floor(F.try_divide((F.col(id_col).cast("double") - low) * parts, high - low)), F.lit(0))
+    return F.coalesce(coarse.cast("long") * parts + F.least(F.greatest(fine, F.lit(0)), F.lit(parts - 1)), F.lit(0)).cast("long")
 
 
 def with_successor(df: DataFrame, id_col: str, ranges: tuple, order: list[str], columns: list[str]) -> DataFrame:
     """df with next_<column> of the row that follows by (id, order), after the last of the first row, and
-    nth, the row's number in its range.  Each range's first rows also go, as sentinels, to the range
-    before it, so every window is one range and no task sees all rows."""
-    bounds, firsts = ranges
-    own = F.struct(_range(id_col, bounds).cast("int").alias("r"), F.lit(0).alias("sentinel"))
-    to = F.array(own)
-    if firsts:
-        before = F.create_map(*[F.lit(x) for k, (_, first) in enumerate(firsts) for x in (first, firsts[k - 1][0])])
-        also = F.struct(F.element_at(before, F.col(id_col)).cast("int").alias("r"), F.lit(1).alias("sentinel"))
-        to = F.when(F.map_contains_key(before, F.coalesce(F.col(id_col), F.lit(firsts[0][1]))) & F.col(id_col).isNotNull(), F.array(own, also)).otherwise(to)
-    spread = df.withColumn("_to", F.explode(to))
+    nth, the row's number in its part.  Each part's first rows also go, as sentinels, to the part
+    before it, so every window is one part and no task sees all rows."""
+    bounds, parts, firsts = ranges
+    own = F.struct(_part(id_col, bounds, parts).alias("r"), F.lit(0).alias("sentinel"))
+    also = F.struct(F.col("_before").alias("r"), F.lit(1).alias("sentinel"))
+    met = df.join(F.broadcast(firsts), F.col(id_col) == F.col("_first"), "left")
+    spread = met.withColumn("_to", F.explode(F.when(F.col("_before").isNotNull(), F.array(own, also)).otherwise(F.array(own)))).drop("_first", "_before")
     window = Window.partitionBy("_to.r").orderBy("_to.sentinel", id_col, *order)
     out = spread.select("*", F.row_number().over(window).alias("nth"), *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
     return out.where("_to.sentinel = 0").drop("_to")
@@ -90,9 +108,11 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def near_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited form, and their likeness to each other and to the next text's."""
+    """Fingerprints of every text and of its edited form, and their likeness to each other and to the next text's; fp
+    is the text's fingerprint as a long."""
     docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = id_ranges(df, id_col)
+    bounds, parts, firsts = id_ranges(df, id_col, text_col)
+    ranges = bounds, parts, written(firsts)
     linked = with_successor(docs, id_col, ranges, ["text"], ["text"])
     both = linked.select(id_col, "nth", F.length("text").cast("long").alias("n_chars"), F.array("text", edited(F.col("text"), F.coalesce("next_text", "text"))).alias("bodies"))
     keys = [id_col, "nth", "n_chars", "edited_sha256"]
@@ -100,23 +120,40 @@ def near_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints = fingerprints(facts, [*keys, "which"], "body")
     paired = prints.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp"))
     out = with_successor(paired.withColumnRenamed("nth", "at"), id_col, ranges, ["at"], ["fp"])
+    out = out.select(id_col, "n_chars", "edited_sha256", "fp", "efp", "next_fp")
     shown = lambda c: F.lpad(F.lower(F.hex(c)), BITS // 4, "0")
-    return out.select(id_col, "n_chars", "edited_sha256", shown("fp").alias("fingerprint"), shown("efp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.coalesce("next_fp", "fp")).alias("near_next"))
+    return out.select(id_col, "n_chars", "edited_sha256", shown("fp").alias("fingerprint"), shown("efp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.coalesce("next_fp", "fp")).alias("near_next"), "fp")
 
 
-def block_tables(prints: DataFrame, fp_col: str = "fp", radius: int = 3, extra: int = 3) -> DataFrame:
-    """prints once per table, with the table's number and the bits it is sorted by."""
+def block_masks(radius: int = 3, extra: int = 3) -> list[int]:
+    """The masks of the permuted tables, one per choice of `extra` of the radius + extra blocks, as signed longs."""
     count = radius + extra
     edges = [BITS * k // count for k in range(count + 1)]
     masks = [sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen) for chosen in combinations(range(count), extra)]
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.col(fp_col).bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(signed)])
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+
+
+def block_tables(prints: DataFrame, fp_col: str = "fp", radius: int = 3, extra: int = 3) -> DataFrame:
+    """prints once per table, with the table's number and the bits it is sorted by."""
+    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.col(fp_col).bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(block_masks(radius, extra))])
     return prints.select("*", F.inline(tables))
 
 
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, extra: int = 3) -> DataFrame:
-    """(query fp, fp, distance): all distinct fingerprints of prints.fp within the radius of each distinct queries.fp."""
+    """(query fp, fp, distance): all distinct fingerprints of prints.fp within the radius of each distinct queries.fp.
+    A pair that meets in several tables is taken from the first of them, within the join.  A block that many
+    fingerprints share is a skewed key of an inner join, which adaptive execution splits; a query meets at most
+    the distinct fingerprints of its blocks."""
     left = block_tables(queries.select(F.col("fp").alias("query")).distinct(), "query", radius, extra)
-    right = block_tables(prints.select("fp").distinct(), "fp", radius, extra)
-    near = left.join(right, ["table", "bits"]).withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("fp")))).where(F.col("distance") <= radius)
-    return near.select("query", "fp", "distance").distinct()
+    right = block_tables(prints.select("fp").distinct(), "fp", radius, extra).withColumnsRenamed({"table": "t", "bits": "b"})
+    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(radius, extra)])
+    apart = F.col("query").bitwiseXOR(F.col("fp"))
+    earlier = F.exists(F.slice(masks, F.lit(1), F.col("t")), lambda m: apart.bitwiseAND(m) == 0)
+    near = left.join(right, (F.col("table") == F.col("t")) & (F.col("bits") == F.col("b")) & (F.bit_count(apart) <= radius) & ~earlier)
+    return near.select("query", "fp", F.bit_count(apart).alias("distance"))
+
+
+def with_neighbours(rows: DataFrame, chosen: Column, name: str = "n_within", radius: int = 3) -> DataFrame:
+    """rows with the number of other distinct fingerprints within the radius of theirs, for the chosen rows; else null."""
+    found = within_radius(rows.select("fp"), rows.where(chosen).select("fp"), radius).groupBy("query").agg((F.count(F.lit(1)) - 1).alias("_near"))
+    return rows.join(found.withColumnRenamed("query", "_query"), F.col("fp") == F.col("_query"), "left").withColumn(name, F.when(chosen, F.col("_near"))).drop("_query", "_near")
