@@ -8,26 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import eras as E
-from ..sources.tables import written
+from ..operators.ordered import ranked
 from . import objectives as O
 from .safe import div
 
 
-def global_rank(df: DataFrame, x: str, row: str, name: str = "rank") -> DataFrame:
-    """df with the ordinal rank over all rows: range partitions are ranked apart and shifted by the rows before
-    them, so that no task gets all rows.  The ranges are written once, as a recomputed range might be cut elsewhere."""
-    cut = written(df.repartitionByRange(F.col(x), F.col(row)).withColumn("_range", F.spark_partition_id()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = cut.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(x, row))
-    return cut.withColumn("_within", within).join(F.broadcast(shift), "_range").withColumn(name, F.col("_within") + F.col("_shift")).drop("_range", "_within", "_shift")
-
-
 def rank_target(df: DataFrame, label: str, row: str, name: str = "target") -> DataFrame:
     """df with the label's rank scaled to -1..1.  Ranks stay the same from round to round: make them once."""
-    ranked = global_rank(df, label, row, "_rank")
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.crossJoin(F.broadcast(total)).withColumn(name, 2.0 * (F.col("_rank") - 1) / F.greatest(F.col("_n") - 1, F.lit(1)) - 1).drop("_rank", "_n")
+    n = df.count()
+    return ranked(df, [], [label, row], "_rank").withColumn(name, 2.0 * (F.col("_rank") - 1) / max(n - 1, 1) - 1).drop("_rank")
 
 
 def spearman_gradient(df: DataFrame, target: str, pred: str, correction: float = 0.5) -> DataFrame:
@@ -47,9 +36,9 @@ def max_sharpe_gradient(df: DataFrame, era: str, label: str, pred: str, row: str
     weights = rhos.select(F.col(era).alias("_era"), pull.alias("_w"), n.alias("_eras"))
     normed = E.rank_normalize(df, label, row, era)
     moments = normed.groupBy(F.col(era).alias("_era")).agg(F.count(F.lit(1)).alias("_n"), F.avg("normed").alias("_mr"), (F.stddev_pop("normed") + eps).alias("_sr"), (F.stddev_pop(pred) + eps).alias("_sp"))
-    small = weights.join(moments, "_era")
+    small = weights.withColumnRenamed("_era", "_e").join(moments, F.col("_e").eqNullSafe(F.col("_era"))).drop("_e")
     slope = (F.col("normed") - F.col("_mr")) / (F.col("_n") * F.col("_sp") * F.col("_sr"))
-    out = normed.join(F.broadcast(small), F.col(era) == F.col("_era"))
+    out = normed.join(small, F.col(era).eqNullSafe(F.col("_era")))
     return out.withColumn("grad", F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(-F.col("_w") * slope)).withColumn("hess", 1.0 / (F.col("_n") * F.col("_eras"))).drop("normed", "_era", "_w", "_eras", "_n", "_mr", "_sr", "_sp")
 
 
@@ -116,11 +105,32 @@ def cox(event: str) -> O.Objective:
     return _whole("cox", lambda df: O.cox_gradient(df, "label", f"with_{event}", "pred"), (event,), _zero, F.exp)
 
 
-def several(base: O.Objective, aux: list[str], alpha: float) -> O.Objective:
-    """The base objective's gradient on the label and on the further target columns."""
+def several(base: O.Objective, aux: list[str], alpha: float, start: float | None = None, power: float = 1.0) -> O.Objective:
+    """The base objective's gradient on the label and on the further target columns.  With a start the label's share goes
+    from there in the first round to alpha in the last."""
+
+    def made(share: float) -> O.Objective:
+        def frame(df: DataFrame) -> DataFrame:
+            grad, hess = multi_target(base, F.col("label"), F.col("pred"), [F.col(f"with_{a}").cast("double") for a in aux], share)
+            return df.withColumn("grad", grad.cast("double")).withColumn("hess", hess.cast("double"))
+
+        return O.Objective(f"multi_{base.name}", base.grad, base.hess, base.init, base.loss, base.leaf, base.link, frame, tuple(aux))
+
+    out = made(alpha)
+    if start is not None:
+        out.at = lambda round_, rounds: made(alpha_at(alpha, start, round_, rounds, power))
+    return out
+
+
+def exposed(base: O.Objective, count: int, strength: float) -> O.Objective:
+    """The base objective with a penalty on the predictions' exposure to all `count` features."""
 
     def frame(df: DataFrame) -> DataFrame:
-        grad, hess = multi_target(base, F.col("label"), F.col("pred"), [F.col(f"with_{a}").cast("double") for a in aux], alpha)
-        return df.withColumn("grad", grad.cast("double")).withColumn("hess", hess.cast("double"))
+        grown = E.exposure_gradient(df, "x", count, "pred")
+        return grown.withColumn("grad", (base.grad(F.col("label"), F.col("pred")) + strength * F.col("egrad")).cast("double")).withColumn("hess", base.hess(F.col("label"), F.col("pred")).cast("double")).drop("egrad")
+
+    return O.Objective(f"exposed_{base.name}", base.grad, base.hess, base.init, base.loss, base.leaf, base.link, frame)
+
 
-    return O.Objective(f"multi_{base.name}", base.grad, base.hess, base.init, base.loss, base.leaf, base.link, frame, tuple(aux))
+#: Name to maker, of rowwise objectives and of those that need more than a row.
+OBJECTIVES = {**O.ROWWISE, "softmax": O.softmax_gradient, "lambdarank": lambdarank, "cox": cox, "spearman": spearman, "max_sharpe": max_sharpe, "neutral": neutral}

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.ordered import ranked, running, small_groups
 from .safe import clip, div
 
 
@@ -46,35 +46,47 @@ def auc(df: DataFrame, y: str, p: str, row: str) -> DataFrame:
     """Rank sum over distinct scores, ties counted half.  Counts per score are summed before they are ordered, and
     ordered in ranges, so the running count never needs one task for all rows."""
     scores = df.groupBy(F.col(p).alias("p")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
-    bounds = sorted({x for x in scores.select(F.percentile_approx("p", [k / 64 for k in range(1, 64)], 1000)).first()[0] or []})
-    part = F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("p"))) if bounds else F.lit(0)
-    placed = scores.withColumn("part", part)
-    totals = placed.groupBy("part").agg(F.sum("neg").alias("n"))
-    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inner = Window.partitionBy("part").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    below = placed.withColumn("below", F.coalesce(F.sum("neg").over(inner), F.lit(0))).join(F.broadcast(before), "part")
-    wins = F.sum(F.col("pos") * (F.col("before") + F.col("below") + 0.5 * F.col("neg")))
+    below = running(scores, [], ["p"], {"below": F.col("neg")})
+    wins = F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
     return below.agg(F.coalesce(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")), F.lit(0.5)).alias("auc"))
 
 
 def ndcg(df: DataFrame, group: str, relevance: str, score: str, row: str, k: int = 10) -> DataFrame:
     """(group, ndcg): exponential gains, 1 where nothing is relevant."""
     gain = F.pow(F.lit(2.0), F.col(relevance)) - 1
-    at = lambda *order: F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    ranked = df.select(group, gain.alias("g"), at(F.col(score).desc(), row).alias("i"), at(F.col(relevance).desc(), row).alias("j"))
+    rows = df.select(group, gain.alias("g"), (-F.col(score)).alias("_s"), (-F.col(relevance)).alias("_r"), F.col(row).alias("_row"))
+    small = small_groups(rows, [group])
+    placed = ranked(ranked(rows, [group], ["_s", "_row"], "i", small), [group], ["_r", "_row"], "j", small)
     part = lambda i: F.sum(F.when(F.col(i) <= k, F.col("g") / F.log2(F.col(i) + F.lit(1.0))).otherwise(0.0))
-    return ranked.groupBy(group).agg(part("i").alias("dcg"), part("j").alias("idcg")).select(group, F.when(F.col("idcg") > 0, div("dcg", "idcg")).otherwise(1.0).alias("ndcg"))
+    return placed.groupBy(group).agg(part("i").alias("dcg"), part("j").alias("idcg")).select(group, F.when(F.col("idcg") > 0, div("dcg", "idcg")).otherwise(1.0).alias("ndcg"))
 
 
 def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
-    """Share of comparable pairs in which the earlier event has the higher risk, ties half.  Rows are counted by
-    (time, event, risk) first, so the range join sees distinct values only."""
+    """Share of comparable pairs in which the earlier event has the higher risk, ties half.
+
+    Rows are counted by (time, event, risk).  Distinct times are numbered and paired through a binary tree over the
+    numbers: an earlier and a later time part at exactly one level, in the two halves of one block.  Within each block
+    events of the first half count the rows of the second with lower risk by a running sum in the order of risk, so the
+    work is n log n and no task holds a block."""
     c = df.groupBy(F.col(time).alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    later = c.groupBy("t", "r").agg(F.sum("n").alias("m")).select(F.col("t").alias("t2"), F.col("r").alias("r2"), "m")
-    pairs = c.where("e = 1").join(later, F.col("t2") > F.col("t"))
-    won = F.when(F.col("r") > F.col("r2"), 1.0).when(F.col("r") == F.col("r2"), 0.5).otherwise(0.0)
-    return pairs.agg(F.coalesce(F.try_divide(F.sum(won * F.col("n") * F.col("m")), F.sum(F.col("n") * F.col("m"))), F.lit(0.5)).alias("c_index"))
+    numbered = ranked(c.select("t").distinct(), [], ["t"], "k")
+    count = numbered.agg(F.max("k")).first()[0] or 0
+    cells = c.join(numbered, "t").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max(count, 1).bit_length()))))
+    side = F.call_function("shiftright", F.col("k"), F.col("level")).bitwiseAND(1)
+    placed = cells.select("level", F.call_function("shiftright", F.col("k"), F.col("level") + 1).alias("block"), "r", F.when(side == 0, F.col("n") * F.col("e")).otherwise(0).alias("events"), F.when(side == 1, F.col("n")).otherwise(0).alias("later"))
+    sums = placed.groupBy("level", "block", "r").agg(F.sum("events").alias("events"), F.sum("later").alias("later"))
+    met = running(sums, ["level", "block"], ["r"], {"below": F.col("later")})
+    totals = sums.groupBy("level", "block").agg(F.sum("events").alias("all_events"), F.sum("later").alias("all_later"))
+    won = met.agg(F.sum(F.col("events") * (F.col("below") + 0.5 * F.col("later"))).alias("won"))
+    pairs = totals.agg(F.sum(F.col("all_events") * F.col("all_later")).alias("pairs"))
+    return won.crossJoin(pairs).select(F.coalesce(F.try_divide("won", F.col("pairs").cast("double")), F.lit(0.5)).alias("c_index"))
+
+
+def max_drawdown(df: DataFrame, time: str, value: str) -> DataFrame:
+    from ..operators.eras import drawdown
+
+    return drawdown(df, time, value)
 
 
 #: Name to aggregate, or to function of a DataFrame.
-METRICS = {"rmse": rmse, "mae": mae, "r2": r2, "logloss": logloss, "accuracy": accuracy, "auc": auc, "ndcg": ndcg, "concordance_index": concordance, "sharpe": sharpe, "pinball": pinball}
+METRICS = {"rmse": rmse, "mae": mae, "r2": r2, "logloss": logloss, "accuracy": accuracy, "auc": auc, "ndcg": ndcg, "concordance_index": concordance, "sharpe": sharpe, "max_drawdown": max_drawdown, "pinball": pinball}

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tree import digitize
-
 
 def present(name: str) -> Column:
     x = F.col(name).cast("double")
@@ -23,7 +21,7 @@ def find_bundles(df: DataFrame, edges: dict[str, list[float]], threshold: float
     bundles: list[list[str]] = []
     left = list(order)
     while left:
-        bundle, candidates, bins = [left[0]], left[1:], len(edges[left[0]]) + 1
+        bundle, candidates, bins = [left[0]], left[1:], len(edges[left[0]]) + 2
         while candidates := [c for c in candidates if bins + len(edges[c]) + 1 <= max_bins]:
             union = F.lit(False)
             for member in bundle:
@@ -38,15 +36,3 @@ def find_bundles(df: DataFrame, edges: dict[str, list[float]], threshold: float
         bundles.append(bundle)
         left = [f for f in left if f not in bundle]
     return bundles
-
-
-def merged(bundle: list[str], edges: dict[str, list[float]], missing: int) -> Column:
-    """A bundle's bin: the last non-zero feature's bin behind those of the features before it; 0 without any.
-    A bundle of one feature is binned as it would be alone, missing values apart."""
-    if len(bundle) == 1:
-        return digitize(F.col(bundle[0]), edges[bundle[0]], missing)
-    out, offset = F.lit(0), 0
-    for f in bundle:
-        out = F.when(present(f), digitize(F.col(f), edges[f], missing) + offset).otherwise(out)
-        offset += len(edges[f]) + 1
-    return out

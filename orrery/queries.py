@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .estimators import Classifier, Regressor
+from . import boosted
+from .estimators import Classifier, class_number
+from .functions import frame_objectives as W
 from .functions import metrics as M
 from .functions import objectives as O
 from .operators import eras as E
+from .operators import bundling, ordered
 from .operators import tree as T
-from .sources.tables import read
+from .operators.splits import Nodes, Rule
+from .sources.tables import categorical_columns, panel, read
 
 Q, S = {}, {}
 
@@ -49,25 +53,37 @@ hist AS (SELECT feature, bin, sum(g) AS g, CAST(count(*) AS DOUBLE) AS h, count(
 
 def binned(spark, d):
     li = read(spark, d, "lineitem")
-    mean = li.agg(F.avg("l_extendedprice").alias("mean"))
-    bins = F.array(*[T.digitize(F.col(f), EDGES[f], 255) for f in FEATURES])
-    return li.select(*FEATURES, "l_extendedprice").crossJoin(F.broadcast(mean)).select((F.col("mean") - F.col("l_extendedprice")).alias("g"), F.lit(1.0).alias("h"), bins.alias("bins"))
+    mean = li.agg(F.avg("l_extendedprice")).first()[0]
+    bins = T.bin_column([F.col(f) for f in FEATURES], [EDGES[f] for f in FEATURES], 255)
+    return li.select(*FEATURES, "l_extendedprice", (F.lit(mean) - F.col("l_extendedprice")).alias("g"), F.lit(1.0).alias("h"), bins.alias("bins"))
 
 
-@query("""SELECT 'l_quantity' AS feature, k AS rank, round(quantile_cont(l_quantity, k / 8.0), 6) AS edge FROM lineitem, range(1, 8) t(k) GROUP BY k""".replace("quantile_cont(l_quantity, k / 8.0)", "CASE k " + " ".join(f"WHEN {k} THEN quantile_cont(l_quantity, {k / 8})" for k in range(1, 8)) + " END"))
+def _root(spark, d):
+    return T.node_histograms(binned(spark, d), Nodes([(-1, 0, 0, -1, -1)], 255), [0], len(FEATURES))[0]
+
+
+@query("""WITH q AS (SELECT o_totalprice AS v FROM orders), c AS (SELECT c_nationkey AS v FROM customer), n AS (SELECT count(DISTINCT v) AS n FROM c)
+SELECT 'o_totalprice' AS feature, edge FROM (SELECT DISTINCT round(unnest(quantile_cont(v, [1/16, 2/16, 3/16, 4/16, 5/16, 6/16, 7/16, 8/16, 9/16, 10/16, 11/16, 12/16, 13/16, 14/16, 15/16])), 6) AS edge FROM q)
+UNION ALL SELECT 'c_mktsegment_length' AS feature, edge FROM (SELECT DISTINCT round(unnest(quantile_cont(v, [0.25, 0.5, 0.75])), 6) AS edge FROM (SELECT CAST(c_nationkey % 4 AS DOUBLE) AS v FROM customer))""")
 def bin_edges(spark, d):
-    ranks = [k / 8 for k in range(1, 8)]
-    return read(spark, d, "lineitem").agg(F.percentile("l_quantity", ranks).alias("q")).select(F.lit("l_quantity").alias("feature"), F.posexplode("q").alias("pos", "edge")).select("feature", (F.col("pos") + 1).cast("long").alias("rank"), F.round("edge", 6).alias("edge"))
+    o, c = read(spark, d, "orders"), read(spark, d, "customer").select((F.col("c_nationkey") % 4).cast("double").alias("v"))
+    rows = [("o_totalprice", e) for e in T.bin_edges(o, ["o_totalprice"], 16, exact=True)["o_totalprice"]]
+    rows += [("c_mktsegment_length", e) for e in T.bin_edges(c, ["v"], 255, exact=True)["v"]]
+    return spark.createDataFrame(rows, "feature string, edge double").select("feature", F.round("edge", 6).alias("edge"))
 
 
 @query(f"WITH {B} SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, count(*) AS c FROM r GROUP BY 1, 2")
 def bin_digitize(spark, d):
-    return binned(spark, d).select(F.posexplode("bins").alias("feature", "bin")).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("c"))
+    return binned(spark, d).select(F.posexplode("bins").alias("feature", "bin")).groupBy("feature", F.col("bin").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
 
 
 @query(f"WITH {B} SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(g, 2) AS g, h, c FROM hist")
 def grad_histogram(spark, d):
-    return rounded(T.histogram(binned(spark, d), "bins", []), "g", digits=2)
+    import numpy as np
+
+    g, h, c = _root(spark, d)
+    rows = [(int(f), int(b), float(g[f, b]), float(h[f, b]), int(c[f, b])) for f, b in zip(*np.nonzero(c), strict=True)]
+    return rounded(spark.createDataFrame(rows, "feature int, bin int, g double, h double, c long"), "g", digits=2)
 
 
 GAINS = B + """, s AS (SELECT feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(c) OVER w AS cl, sum(g) OVER v AS gt, sum(h) OVER v AS ht FROM hist
@@ -76,7 +92,9 @@ gains AS (SELECT feature, bin, cl, gl, hl, gt, ht, 0.5 * (gl * gl / (hl + 1) + (
 
 
 def _gains(spark, d):
-    return T.split_gains(T.histogram(binned(spark, d), "bins", []), [], 255).where("nan_dir = 0")
+    hist = _root(spark, d)
+    there = spark.createDataFrame([(int(f), int(b)) for f in range(len(FEATURES)) for b in range(255) if hist[2][f, b] > 0], "feature int, bin int")
+    return T.gain_table(spark, hist, Rule()).where("nan_dir = 0").join(there, ["feature", "bin"])
 
 
 @query(f"WITH {GAINS} SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(gain / 1e6, 4) AS gain_m, CAST(cl AS BIGINT) AS n_left FROM gains ORDER BY gain DESC, feature, bin LIMIT 3")
@@ -87,9 +105,7 @@ def best_split(spark, d):
 
 @query(f"WITH {GAINS} SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(-gl / (hl + 1), 4) AS left_value, round(-(gt - gl) / (ht - hl + 1), 4) AS right_value FROM gains")
 def node_leaf_values(spark, d):
-    h = _gains(spark, d)
-    total = T.histogram(binned(spark, d), "bins", []).groupBy("feature").agg(F.sum("g").alias("gt"), F.sum("h").alias("ht"))
-    return h.join(F.broadcast(total), "feature").select("feature", "bin", F.round(T.leaf_value(F.col("gl"), F.col("hl"), 1.0), 4).alias("left_value"), F.round(T.leaf_value(F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl"), 1.0), 4).alias("right_value"))
+    return rounded(_gains(spark, d).select("feature", "bin", "left_value", "right_value"), "left_value", "right_value", digits=4)
 
 
 def _order_bins(spark, d):
@@ -113,7 +129,7 @@ s AS (SELECT era, feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g)
 t AS (SELECT feature, bin, CASE WHEN hl > 1e-6 THEN -gl / (hl + 1) END AS l, CASE WHEN ht - hl > 1e-6 THEN -(gt - gl) / (ht - hl + 1) END AS r FROM s)
 SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(coalesce(var_pop(l), 0) + coalesce(var_pop(r), 0), 3) AS penalty FROM t GROUP BY 1, 2""")
 def era_split_penalty(spark, d):
-    return rounded(T.era_penalty(T.histogram(_order_bins(spark, d), "bins", ["era"])), "penalty", digits=3)
+    return rounded(T.era_penalty(T.histogram(_order_bins(spark, d), "bins", ["era"])).where("nan_dir = 0").drop("nan_dir"), "penalty", digits=3)
 
 
 @query(f"WITH {P}, m AS (SELECT avg(y) AS mean FROM p) SELECT row_id, round((coalesce(sum(y) OVER w, 0) + mean * 10) / (count(y) OVER w + 10), 6) AS encoded FROM p, m WINDOW w AS (PARTITION BY cat ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -121,6 +137,20 @@ def target_encode_ordered(spark, d):
     return rounded(T.ordered_target(orders(spark, d), "cat", "y", "row_id").select("row_id", "encoded"), "encoded")
 
 
+@query(f"WITH {P}, m AS (SELECT avg(y) AS mean FROM p) SELECT row_id, round((coalesce(sum(y) OVER w, 0) + mean * 10) / (count(y) OVER w + 10), 6) AS encoded FROM p, m WINDOW w AS (PARTITION BY cat ORDER BY {boosted.mix_sql('row_id', 7)}, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def target_encode_permuted(spark, d):
+    return rounded(T.ordered_target(orders(spark, d), "cat", "y", "row_id", seed=7).select("row_id", "encoded"), "encoded")
+
+
+@query(f"WITH {P}, m AS (SELECT avg(y) AS mean FROM p WHERE row_id % 2 = 0), k AS (SELECT cust, (sum(y) + any_value(mean) * 10) / (count(*) + 10) AS encoded FROM p, m WHERE row_id % 2 = 0 GROUP BY cust) SELECT row_id, round(coalesce(encoded, mean), 6) AS encoded FROM p CROSS JOIN m LEFT JOIN k ON k.cust = p.cust WHERE row_id % 2 = 1")
+def target_encode_unseen(spark, d):
+    """Rows of odd id are encoded by a table of the others: the split into training and new rows is what is shown."""
+    o = orders(spark, d)
+    seen, new = o.where("row_id % 2 = 0"), o.where("row_id % 2 = 1")
+    mean = seen.agg(F.avg("y")).first()[0]
+    return rounded(T.target_lookup(new, T.target_table(seen, "cust", "y"), "cust", mean).select("row_id", "encoded"), "encoded")
+
+
 @query(f"WITH {P}, m AS (SELECT avg(y) AS mean FROM p) SELECT cat, round((sum(y) + any_value(mean) * 10) / (count(*) + 10), 6) AS encoded FROM p, m GROUP BY cat")
 def target_encode_lookup(spark, d):
     return rounded(T.target_table(orders(spark, d), "cat", "y"), "encoded")
@@ -152,6 +182,19 @@ def _weights(method):
     return lambda spark, d: rounded(E.era_weights(_rhos(spark, d), method), "weight", "row_weight")
 
 
+@query(f"WITH {RHO}, e AS (SELECT era, n, sum(n) OVER () AS t, greatest(exp(-rho) / sum(exp(-rho)) OVER (), 0.9 / count(*) OVER ()) AS w FROM rho), z AS (SELECT era, n, t, w / sum(w) OVER () AS w FROM e) SELECT era, round(w, 6) AS weight, round(w * t / n, 6) AS row_weight FROM z")
+def era_weights_floor(spark, d):
+    return rounded(E.era_weights(_rhos(spark, d), "hard_era", floor=0.9), "weight", "row_weight")
+
+
+@query(f"""WITH {P}, k AS (SELECT row_id, era, y, unnest([0, 1]) AS round, unnest([x, CAST(days AS DOUBLE)]) AS v FROM p), q AS (SELECT round, era, CAST(row_number() OVER (PARTITION BY round, era ORDER BY v, row_id) AS DOUBLE) AS rx, CAST(row_number() OVER (PARTITION BY round, era ORDER BY y, row_id) AS DOUBLE) AS ry FROM k),
+e AS (SELECT round, era, CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 0 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) ELSE 0 END AS rho FROM q GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT CAST(round AS INT) AS round, round(avg(rho), 6) AS mean_corr, round(stddev_pop(rho), 6) AS std_corr, round(avg(rho) / (stddev_pop(rho) + 1e-9), 6) AS sharpe, arg_min(era, rho) AS worst_era FROM e GROUP BY 1""")
+def era_history(spark, d):
+    o = orders(spark, d).withColumn("days", F.col("days").cast("double"))
+    return rounded(E.era_history([E.era_spearman(o, "era", x, "y", "row_id") for x in ("x", "days")]), "mean_corr", "std_corr", "sharpe")
+
+
 for _name, _method, _raw in (("era_weights_hard", "hard_era", "exp(-rho)"), ("era_weights_sharpe", "sharpe_reweight", "exp(1 / (k * sd) - mu * (rho - mu) / (k * sd * sd * sd))"), ("era_weights_prop", "proportional", "greatest(1 - abs(rho), 1e-6)")):
     Q[_name], S[_name] = _weights(_method), _weights_sql(_raw)
 
@@ -215,12 +258,47 @@ def conformal_era_q(spark, d):
     return rounded(E.conformal(_predicted(spark, d), "x", "pred", 0.1, ["era"]), "q", digits=3)
 
 
-@query(f"WITH {ERAQ} SELECT v.era, count(*) AS n, round(avg(CASE WHEN abs(x - pred) <= coalesce(q, 1e5) THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM v LEFT JOIN eq ON eq.era = v.era GROUP BY 1")
+_GLOBAL = "gk AS (SELECT count(*) AS n, list_sort(list(abs(x - pred))) AS r FROM v), ga AS (SELECT n, r, least(ceil((n + 1) * 0.9) / n, 1.0) * (n - 1) AS t FROM gk), gq AS (SELECT r[CAST(floor(t) AS INT) + 1] + (r[CAST(least(floor(t) + 1, n - 1) AS INT) + 1] - r[CAST(floor(t) AS INT) + 1]) * (t - floor(t)) AS gq FROM ga)"
+
+
+@query(f"WITH {ERAQ}, {_GLOBAL} SELECT v.era, count(*) AS n, round(avg(CASE WHEN abs(x - pred) <= coalesce(q, gq) THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM v CROSS JOIN gq LEFT JOIN eq ON eq.era = v.era GROUP BY 1")
 def conformal_coverage(spark, d):
     v = _predicted(spark, d)
-    q = E.conformal(v, "x", "pred", 0.1, ["era"]).select("era", "q")
-    inside = F.abs(F.col("x") - F.col("pred")) <= F.coalesce("q", F.lit(1e5))
-    return rounded(v.join(F.broadcast(q), "era", "left").groupBy("era").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(inside, 1.0).otherwise(0.0)).alias("coverage")), "coverage")
+    return rounded(E.Conformal(0.1, era="era").calibrate(v, "x", "pred").coverage(v, "x", "pred", ["era"]), "coverage")
+
+
+@query(f"""WITH {PRED}, k AS (SELECT count(*) AS n, list_sort(list(greatest(x - pred, 0))) AS u, list_sort(list(greatest(pred - x, 0))) AS l FROM v), a AS (SELECT *, least(ceil((n + 1) * 0.95) / n, 1.0) * (n - 1) AS t FROM k),
+q AS (SELECT u[CAST(floor(t) AS INT) + 1] + (u[CAST(least(floor(t) + 1, n - 1) AS INT) + 1] - u[CAST(floor(t) AS INT) + 1]) * (t - floor(t)) AS up, l[CAST(floor(t) AS INT) + 1] + (l[CAST(least(floor(t) + 1, n - 1) AS INT) + 1] - l[CAST(floor(t) AS INT) + 1]) * (t - floor(t)) AS lo FROM a)
+SELECT row_id, round(pred - lo, 3) AS lower, round(pred + up, 3) AS upper FROM v, q""")
+def conformal_asymmetric(spark, d):
+    v = _predicted(spark, d)
+    return rounded(E.Conformal(0.1, asymmetric=True).calibrate(v, "x", "pred").predict_interval(v, "pred").select("row_id", "lower", "upper"), "lower", "upper", digits=3)
+
+
+@query(f"WITH {P} SELECT round(greatest(abs(covar_pop(x, y) / ((stddev_pop(x) + 1e-9) * (stddev_pop(y) + 1e-9))), abs(covar_pop(x, days) / ((stddev_pop(x) + 1e-9) * (stddev_pop(days) + 1e-9)))), 6) AS max_exposure FROM p")
+def max_exposure(spark, d):
+    return rounded(E.max_exposure(orders(spark, d), "x", ["y", "days"]), "max_exposure")
+
+
+@query(f"WITH {P}, e AS (SELECT era, CASE WHEN count(*) < 2 THEN 0 ELSE abs(covar_pop(x, y) / ((stddev_pop(x) + 1e-9) * (stddev_pop(y) + 1e-9))) END AS a, CASE WHEN count(*) < 2 THEN 0 ELSE abs(covar_pop(x, days) / ((stddev_pop(x) + 1e-9) * (stddev_pop(days) + 1e-9))) END AS b FROM p GROUP BY era) SELECT round(avg(a), 6) AS exposure_y, round(avg(b), 6) AS exposure_days FROM e")
+def mean_exposure(spark, d):
+    return rounded(E.mean_exposure(orders(spark, d), "x", ["y", "days"], "era"), "exposure_y", "exposure_days")
+
+
+@query(f"WITH {P}, k AS (SELECT cust, y - lag(y) OVER (PARTITION BY cust ORDER BY row_id) AS d FROM p) SELECT cust, round(0.1 * coalesce(sum(d * d), 0), 6) AS penalty FROM k GROUP BY cust")
+def temporal_penalty(spark, d):
+    return rounded(E.temporal_penalty(orders(spark, d), "row_id", "y", 0.1, ["cust"]), "penalty")
+
+
+@query(f"WITH {P} SELECT cat, round(0.5 * var_pop(y / 1000), 6) AS penalty FROM p GROUP BY cat")
+def gain_variance(spark, d):
+    return rounded(E.gain_variance(orders(spark, d).withColumn("gain", F.col("y") / 1000), ["cat"], "gain"), "penalty")
+
+
+@query(f"""WITH {P}, m AS (SELECT era, median(y) AS m FROM p GROUP BY era), s AS (SELECT era, count(*) AS n, median(abs(y - m)) AS mad FROM p JOIN m USING (era) GROUP BY era)
+SELECT era, round(CASE WHEN n < 2 THEN 0 ELSE any_value(mad) END, 6) AS mad, round(CASE WHEN n < 2 THEN 0 ELSE avg(CASE WHEN abs(y) > mad * 1.5 THEN 1.0 ELSE 0.0 END) END, 6) AS frac_clipped FROM p JOIN s USING (era) GROUP BY era, n""")
+def clip_stats(spark, d):
+    return rounded(E.clip_stats(orders(spark, d), "era", "y", 1.5).select("era", "mad", "frac_clipped"), "mad", "frac_clipped")
 
 
 DAYS = "daily AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, sum(value) AS v FROM events GROUP BY 1)"
@@ -245,9 +323,77 @@ def sharpe_ratio(spark, d):
     return rounded(_daily(spark, d).agg(M.sharpe("v").alias("sharpe")), "sharpe")
 
 
-@query("WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts) - 1 AS rn, count(*) OVER () // 5 AS size FROM events) SELECT CAST(event_id AS BIGINT) AS event_id, CAST(rn AS BIGINT) AS rn, CASE WHEN rn < size * 5 THEN CAST(rn // size AS BIGINT) END AS fold FROM n")
+@query(f"""WITH {DAYS}, r AS (SELECT day, CASE WHEN row_number() OVER (ORDER BY day) >= 5 THEN stddev_pop(v) OVER (ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS vol FROM daily), q AS (SELECT quantile_cont(vol, 1 / 3) AS a, quantile_cont(vol, 2 / 3) AS b FROM r)
+SELECT CAST(day AS VARCHAR) AS day, CAST(CASE WHEN vol > a THEN 1 ELSE 0 END + CASE WHEN vol > b THEN 1 ELSE 0 END AS INT) AS regime FROM r, q""")
+def fitted_regimes(spark, d):
+    vol = E.rolling_std(_daily(spark, d), "day", "v", 5)
+    return E.regimes(vol, E.regime_thresholds(vol, 3)).select(F.col("day").cast("string").alias("day"), "regime")
+
+
+@query("WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn, count(*) OVER () AS n FROM events), f AS (SELECT event_id, rn, n, k AS fold, k * (n // 5) AS a, least((k + 1) * (n // 5), n) AS b FROM n, range(5) t(k)), p AS (SELECT *, CASE WHEN rn >= a AND rn < b THEN 'test' WHEN rn < a OR rn >= b + CAST(floor(n * 0.01) AS BIGINT) THEN 'train' END AS part FROM f) SELECT CAST(event_id AS BIGINT) AS event_id, CAST(rn AS BIGINT) AS rn, CAST(fold AS INT) AS fold, part FROM p WHERE part IS NOT NULL")
 def purged_folds(spark, d):
-    return E.purged_folds(read(spark, d, "events").select("event_id", "ts"), "ts", 5, 10).select(F.col("event_id").cast("long").alias("event_id"), "rn", "fold")
+    return E.purged_folds(read(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 5, 0.01).select(F.col("event_id").cast("long").alias("event_id"), "rn", "fold", "part")
+
+
+@query(f"""WITH {P}, r AS (SELECT row_id, row_number() OVER (ORDER BY abs(y) DESC, row_id) AS k, count(*) OVER () AS n FROM p), z AS (SELECT *, row_number() OVER (PARTITION BY k <= floor(n * 0.2) ORDER BY {boosted.mix_sql('row_id', 5)}, row_id) AS j FROM r)
+SELECT row_id, round(CASE WHEN k <= floor(n * 0.2) THEN 1.0 ELSE (n - floor(n * 0.2)) / floor(n * 0.1) END, 6) AS weight FROM z WHERE k <= floor(n * 0.2) OR j <= floor(n * 0.1)""")
+def goss(spark, d):
+    return rounded(E.goss(orders(spark, d), "y", "row_id", seed=5).select("row_id", "weight"), "weight")
+
+
+@query(f"""WITH {P}, m AS (SELECT *, abs(y) * exp(-0.001 * ((SELECT max(days) FROM p) - days)) AS key FROM p), r AS (SELECT *, row_number() OVER (ORDER BY key DESC, row_id) AS k, count(*) OVER () AS n FROM m),
+z AS (SELECT *, row_number() OVER (PARTITION BY k <= floor(n * 0.2) ORDER BY -ln(({boosted.mix_sql('row_id', 5)} + 0.5) / 4294967296.0) / key, row_id) AS j FROM r)
+SELECT row_id, round(CASE WHEN k <= floor(n * 0.2) THEN 1.0 ELSE 8.0 END, 6) AS weight FROM z WHERE k <= floor(n * 0.2) OR j <= floor(n * 0.1)""")
+def weighted_goss(spark, d):
+    return rounded(E.weighted_goss(orders(spark, d), "y", "row_id", "days", 0.001, seed=5).select("row_id", "weight"), "weight")
+
+
+@query(f"SELECT CAST(o_orderkey AS BIGINT) AS row_id, CAST({boosted.mix_sql('CAST(o_orderkey AS BIGINT)', 3)} AS BIGINT) AS place, row_number() OVER (ORDER BY {boosted.mix_sql('CAST(o_orderkey AS BIGINT)', 3)}, o_orderkey) AS rank FROM orders")
+def permutation(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("row_id"))
+    return ordered.ranked(o.withColumn("place", ordered.mixed(o, "row_id", 3)), [], ["place", "row_id"], "rank")
+
+
+@query("WITH c AS (SELECT count(DISTINCT o_orderpriority) AS a, count(DISTINCT o_custkey) AS b, count(DISTINCT o_orderstatus) AS c FROM orders) SELECT name FROM (SELECT unnest(['priority', 'cust', 'status']) AS name, unnest([a, b, c]) AS n FROM c) WHERE n <= 20")
+def categorical(spark, d):
+    o = read(spark, d, "orders").select(F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"), F.col("o_custkey").cast("double").alias("cust"), F.ascii("o_orderstatus").cast("double").alias("status"))
+    return spark.createDataFrame([(c,) for c in categorical_columns(o, ["priority", "cust", "status"])], "name string")
+
+
+@query(f"WITH {P} SELECT row_id, CASE WHEN isnan(v) THEN NULL ELSE v END AS v, CAST(event AS DOUBLE) AS event FROM (SELECT row_id, event, CASE WHEN row_id % 7 = 0 THEN CAST('nan' AS DOUBLE) ELSE y END AS v FROM p)")
+def scanned_panel(spark, d):
+    o = orders(spark, d).select("row_id", F.when(F.col("row_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("y")).alias("v"), "event")
+    return panel(o, ["v"], "event")
+
+
+@query(f"WITH {P}, c AS (SELECT cat, row_number() OVER (ORDER BY cat) - 1 AS k FROM (SELECT DISTINCT cat FROM p)) SELECT row_id, CAST(k AS BIGINT) AS k FROM p JOIN c USING (cat)")
+def label_index(spark, d):
+    o = orders(spark, d)
+    classes = [r[0] for r in o.select("cat").distinct().orderBy("cat").collect()]
+    return o.select("row_id", class_number(classes, "cat").cast("long").alias("k"))
+
+
+BUNDLED = "z AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN x / 1000 ELSE 0 END AS a, CASE WHEN row_id % 3 = 1 THEN y / 1000 ELSE 0 END AS b, CAST(days AS DOUBLE) AS c FROM p)"
+
+
+def _sparse(spark, d):
+    o = orders(spark, d)
+    return o.select("row_id", F.when(F.col("row_id") % 3 == 0, F.col("x") / 1000).otherwise(0.0).alias("a"), F.when(F.col("row_id") % 3 == 1, F.col("y") / 1000).otherwise(0.0).alias("b"), F.col("days").cast("double").alias("c"))
+
+
+BUNDLE_EDGES = {"a": [50.0, 150.0, 250.0], "b": [0.0, 4.0], "c": [2000.0, 3000.0]}
+
+
+@query(f"WITH {P}, {BUNDLED}, n AS (SELECT count(*) FILTER (a <> 0) AS a, count(*) FILTER (b <> 0) AS b, count(*) FILTER (c <> 0) AS c, count(*) FILTER (a <> 0 AND b <> 0) AS ab, count(*) FILTER (a <> 0 AND c <> 0) AS ac, count(*) FILTER (b <> 0 AND c <> 0) AS bc FROM z) SELECT CASE WHEN c >= a AND c >= b AND ac > 0 AND bc > 0 AND ab = 0 THEN 'c|' || CASE WHEN a >= b THEN 'a,b' ELSE 'b,a' END END AS bundles FROM n")
+def bundle_search(spark, d):
+    found = bundling.find_bundles(_sparse(spark, d), BUNDLE_EDGES)
+    return spark.createDataFrame([("|".join(",".join(b) for b in found),)], "bundles string")
+
+
+@query(f"WITH {P}, {BUNDLED} SELECT row_id, CAST(CASE WHEN b <> 0 THEN 5 + CAST(b >= 0 AS INT) + CAST(b >= 4 AS INT) WHEN a <> 0 THEN 1 + CAST(a >= 50 AS INT) + CAST(a >= 150 AS INT) + CAST(a >= 250 AS INT) ELSE 0 END AS INT) AS ab, CAST(CAST(c >= 2000 AS INT) + CAST(c >= 3000 AS INT) AS INT) AS c FROM z")
+def bundle_merge(spark, d):
+    bins = T.bin_column([F.col(f) for f in "abc"], [BUNDLE_EDGES[f] for f in "abc"], 255, [[0, 1], [2]])
+    return _sparse(spark, d).select("row_id", bins.alias("bins")).select("row_id", F.col("bins")[0].cast("int").alias("ab"), F.col("bins")[1].cast("int").alias("c"))
 
 
 @query(f"WITH {PRED} SELECT round(sqrt(avg((x - pred) * (x - pred))), 3) AS rmse, round(avg(abs(x - pred)), 3) AS mae, round(1 - sum((x - pred) * (x - pred)) / (var_pop(x) * count(*)), 6) AS r2, round(avg(CASE WHEN x >= pred THEN 0.9 * (x - pred) ELSE -0.1 * (x - pred) END), 3) AS pinball FROM v")
@@ -292,16 +438,16 @@ def metric_cindex(spark, d):
 
 
 @query(f"""WITH {PRED}, k AS (SELECT row_id, y / 1000 AS t, x / 100000 AS s, event AS b FROM v), u AS (SELECT *, s - t AS e, 1 / (1 + exp(-s)) AS sg FROM k)
-SELECT row_id, round(e, 6) AS g_mse, round(sign(e), 6) AS g_mae, round(greatest(least(e, 1), -1), 6) AS g_huber, round(CASE WHEN abs(e) <= 1 THEN 1 ELSE 1 / (abs(e) + 1e-8) END, 6) AS h_huber, round(CASE WHEN e <= 1 THEN e ELSE 2 END, 6) AS g_asymmetric_huber,
-round(sg - b, 6) AS g_binary_logloss, round(greatest(sg * (1 - sg), 1e-7), 6) AS h_binary_logloss, round(CASE WHEN t < s THEN 0.5 ELSE -0.5 END, 6) AS g_quantile, round(-(1 - CASE WHEN t < s THEN 2.0 ELSE 0 END), 6) AS g_cvar FROM u""")
+SELECT row_id, round(e, 9) AS g_mse, round(sign(e), 9) AS g_mae, round(greatest(least(e, 1), -1), 9) AS g_huber, round(CASE WHEN abs(e) <= 1 THEN 1 ELSE 1 / (abs(e) + 1e-8) END, 9) AS h_huber, round(CASE WHEN e <= 1 THEN e ELSE 2 END, 9) AS g_asymmetric_huber,
+round(sg - b, 9) AS g_binary_logloss, round(greatest(sg * (1 - sg), 1e-7), 9) AS h_binary_logloss, round(CASE WHEN t < s THEN 0.5 ELSE -0.5 END, 9) AS g_quantile, round(-(1 - CASE WHEN t < s THEN 2.0 ELSE 0 END), 9) AS g_cvar FROM u""")
 def grad_rowwise(spark, d):
     o = _predicted(spark, d).select("row_id", (F.col("y") / 1000).alias("t"), (F.col("x") / 100000).alias("s"), F.col("event").cast("double").alias("b"))
     out = []
     for name, make in O.ROWWISE.items():
         y, f = F.col("b" if name == "binary_logloss" else "t"), make()
-        out.append(F.round(f.grad(y, F.col("s")), 6).alias(f"g_{name}"))
+        out.append(F.round(f.grad(y, F.col("s")), 9).alias(f"g_{name}"))
         if name in ("huber", "binary_logloss"):
-            out.append(F.round(f.hess(y, F.col("s")), 6).alias(f"h_{name}"))
+            out.append(F.round(f.hess(y, F.col("s")), 9).alias(f"h_{name}"))
     return o.select("row_id", *out)
 
 
@@ -321,16 +467,58 @@ def lambdarank_gradient(spark, d):
     return rounded(O.lambdarank(o, "row_id", "cust", "rel", "s").select("row_id", "grad"), "grad")
 
 
-@query(f"WITH {P}, r AS (SELECT row_id, row_number() OVER (ORDER BY abs(y) DESC, row_id) AS k, count(*) OVER () AS n FROM p) SELECT row_id FROM r WHERE k <= floor(n * 0.2)")
-def goss_top(spark, d):
-    return E.goss(orders(spark, d), "y", "row_id").where("weight = 1").select("row_id")
+RANK = "2.0 * (row_number() OVER (ORDER BY y, row_id) - 1) / (count(*) OVER () - 1) - 1"
 
 
-@query()
-def boosted_fit_predict(spark, d):
-    o = orders(spark, d).select("row_id", "era", F.col("x"), F.col("days").cast("double").alias("days"), F.substring("cat", 1, 1).cast("double").alias("priority"), F.col("y").alias("label"))
-    model = Regressor(features=["x", "days", "priority"], era="era", n_estimators=5, max_depth=3, max_leaves=6, max_bins=32, era_method="hard_era", order="row_id").fit(o)
-    return model.transform(o).select("row_id", F.round("prediction", 6).alias("prediction"))
+def _targets(spark, d):
+    return W.rank_target(orders(spark, d), "y", "row_id").withColumn("f", F.col("x") / 100000).withColumn("dy", F.col("days").cast("double") / 1000)
+
+
+@query(f"""WITH {P}, r AS (SELECT row_id, {RANK} AS t, x / 100000 AS f FROM p), m AS (SELECT avg(f) AS mp, stddev_pop(f) AS sp, stddev_pop(t) AS st, covar_pop(f, t) AS c FROM r)
+SELECT row_id, round(f - t - 0.5 * c / (sp * st) * (f - mp) / (sp + 1e-9) / (st + 1e-9), 6) AS grad FROM r, m""")
+def spearman_gradient(spark, d):
+    return rounded(W.spearman_gradient(_targets(spark, d), "target", "f").select("row_id", "grad"), "grad")
+
+
+@query(f"""WITH {RHO}, w AS (SELECT era, (pow(sd, 2) - mu * (rho - mu)) / (k * pow(sd, 3)) AS w, k FROM rho, (SELECT avg(rho) AS mu, stddev_pop(rho) + 1e-9 AS sd, count(*) AS k FROM rho)),
+r AS (SELECT row_id, era, x / 100000 AS f, 2.0 * (row_number() OVER (PARTITION BY era ORDER BY y, row_id) - 1) / greatest(count(*) OVER (PARTITION BY era) - 1, 1) - 1 AS q FROM p),
+m AS (SELECT era, count(*) AS n, avg(q) AS mr, stddev_pop(q) + 1e-9 AS sr, stddev_pop(f) + 1e-9 AS sp FROM r GROUP BY era)
+SELECT row_id, round(CASE WHEN n < 2 THEN 0 ELSE -w * (q - mr) / (n * sp * sr) END, 6) AS grad, round(1.0 / (n * k), 9) AS hess FROM r JOIN m USING (era) JOIN w USING (era)""")
+def max_sharpe_gradient(spark, d):
+    o = orders(spark, d).withColumn("f", F.col("x") / 100000)
+    return W.max_sharpe_gradient(o, "era", "y", "f", "row_id").select("row_id", F.round("grad", 6).alias("grad"), F.round("hess", 9).alias("hess"))
+
+
+@query(f"""WITH {P}, r AS (SELECT row_id, {RANK} AS t, x / 100000 AS f, days / 1000.0 AS a FROM p), b AS (SELECT sum(a * f) / (sum(a * a) + 1e-4) AS b FROM r), o AS (SELECT row_id, a, f - b * a - t AS off FROM r, b), c AS (SELECT sum(a * off) / (sum(a * a) + 1e-4) AS c FROM o)
+SELECT row_id, round(off - c * a, 6) AS grad FROM o, c""")
+def neutral_gradient(spark, d):
+    return rounded(W.neutral_gradient(_targets(spark, d), "target", "f", ["dy"]).select("row_id", "grad"), "grad")
+
+
+@query(f"WITH {P} SELECT row_id, round(0.7 * (x / 100000 - y / 1000) + 0.3 * ((x / 100000 - days / 1000.0) + (x / 100000 - event)) / 2, 9) AS grad FROM p")
+def multi_target_gradient(spark, d):
+    o = orders(spark, d).withColumn("s", F.col("x") / 100000)
+    grad, _ = W.multi_target(O.mse(), F.col("y") / 1000, F.col("s"), [F.col("days") / 1000.0, F.col("event").cast("double")], 0.7)
+    return o.select("row_id", F.round(grad, 9).alias("grad"))
+
+
+@query(f"""WITH {P}, s AS (SELECT row_id, [x / 100000, y / 1000, days / 1000.0] AS z, CAST(substr(cat, 1, 1) AS INT) % 3 AS k FROM p), e AS (SELECT row_id, k, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM s), q AS (SELECT row_id, k, list_transform(e, lambda v: v / list_sum(e)) AS q FROM e)
+SELECT row_id, round(q[1] - CASE WHEN k = 0 THEN 1 ELSE 0 END, 6) AS g0, round(q[2] - CASE WHEN k = 1 THEN 1 ELSE 0 END, 6) AS g1, round(q[3] - CASE WHEN k = 2 THEN 1 ELSE 0 END, 6) AS g2, round(greatest(q[1] * (1 - q[1]), 1e-7), 6) AS h0 FROM q""")
+def softmax_gradient(spark, d):
+    o = orders(spark, d)
+    g, h = O.softmax_gradient(F.substring("cat", 1, 1).cast("int") % 3, F.array(F.col("x") / 100000, F.col("y") / 1000, F.col("days") / 1000.0))
+    return o.select("row_id", *[F.round(g[k], 6).alias(f"g{k}") for k in range(3)], F.round(h[0], 6).alias("h0"))
+
+
+@query(f"WITH {P} SELECT cat, round(ln(count(*) / CAST((SELECT count(*) FROM p) AS DOUBLE)), 9) AS init FROM p GROUP BY cat")
+def log_priors(spark, d):
+    return rounded(O.log_priors(orders(spark, d), "cat"), "init", digits=9)
+
+
+@query(f"WITH {P} SELECT round(avg(y), 6) AS mean, round(median(y), 6) AS median, round(quantile_cont(y, 0.8), 6) AS quantile, round(ln(avg(event) / (1 - avg(event))), 6) AS log_odds FROM p")
+def init_scores(spark, d):
+    made = {"mean": (O.mse(), "y"), "median": (O.mae(), "y"), "quantile": (O.quantile(0.8), "y"), "log_odds": (O.logloss(), "event")}
+    return orders(spark, d).agg(*[F.round(o.init(F.col(c).cast("double")), 6).alias(n) for n, (o, c) in made.items()])
 
 
 @query()
@@ -344,8 +532,8 @@ def multiclass_embeddings(spark, d):
 
 
 def queries():
-    return dict(Q)
+    return {**Q, **boosted.queries()}
 
 
 def oracle_sql():
-    return dict(S)
+    return {**S, **boosted.oracle_sql()}
