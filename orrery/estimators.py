@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import frame_objectives as W
 from .functions import objectives as O
+from .operators.tree import bin_edges
 from .plans.boosting import Booster, Params
 
 
@@ -104,8 +105,11 @@ class Classifier(Configured):
         if len(classes) > self.max_classes:
             raise ValueError(f"over {self.max_classes} classes")
         positive = classes[1:] if len(classes) == 2 else classes
+        shared = dict(self.args)
+        if not shared.get("edges") and not shared.get("categorical"):  # the same for every class
+            shared["edges"] = bin_edges(df, shared["features"], shared.get("max_bins", Params.max_bins), shared.get("exact_edges", False))
         one = lambda x, c: x.withColumn(label, (F.col(label) == F.lit(c)).cast("double"))
-        return ClassifierModel(classes, [BinaryClassifier(**self.args).fit(one(df, c), one(valid, c) if valid is not None else None) for c in positive])
+        return ClassifierModel(classes, [BinaryClassifier(**shared).fit(one(df, c), one(valid, c) if valid is not None else None) for c in positive])
 
 
 class ClassifierModel:

@@ -21,3 +21,9 @@ def null_nan(x) -> Column:
     """NaN and null are one missing marker."""
     x = F.col(x) if isinstance(x, str) else x
     return F.when(~F.isnan(x.cast("double")), x.cast("double"))
+
+
+def distinct_sketch(x) -> Column:
+    """Aggregate: about how many distinct values; one small binary buffer, so a table may have many such columns."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(x)), F.lit(13)))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.safe import div, null_nan
+from ..functions.safe import distinct_sketch, div, null_nan
 from .ordered import mixed, running
 from .splits import Nodes, Rule, Sums, candidates
 from .splits import leaf_value as leaf_value_of
@@ -18,10 +18,10 @@ def bin_edges(df: DataFrame, features: list[str], max_bins: int = 255, exact: bo
     many bins as values.  By sketches of bounded size, which are exact on small tables; exact=True keeps all distinct
     values of a feature in one task."""
     clean = df.select(*[null_nan(f).alias(f) for f in features])
-    counts = clean.agg(*[(F.count_distinct(f) if exact else F.approx_count_distinct(f, 0.01)).alias(f) for f in features]).first()
-    few = {f: k for f, k in counts.asDict().items() if k < 2 * max_bins}
-    if few and not exact:  # near max_bins the sketch's error would matter
-        few = clean.agg(*[F.count_distinct(f).alias(f) for f in few]).first().asDict()
+    counts = clean.agg(*[distinct_sketch(f).alias(f) for f in features]).first()
+    few = [f for f, k in counts.asDict().items() if (k or 0) < 2 * max_bins]
+    # near max_bins the sketch's error would matter; sets of so few values are small
+    few = clean.agg(*[F.size(F.collect_set(f)).alias(f) for f in few]).first().asDict() if few else {}
     bins = {f: min(max_bins, few.get(f, max_bins)) for f in features}
     ranks = {f: [k / n for k in range(1, n)] for f, n in bins.items() if n > 1}
     if not ranks:

@@ -248,7 +248,7 @@ def drop_set(p: Params, round_: int, trees: int, variances: list[float]) -> list
     chance = [p.drop_rate] * trees
     if p.era_dart and len(variances) >= trees:
         middle = float(np.median(variances[:trees]))
-        chance = [1 / (1 + math.exp(-p.era_dart_scale * (v - middle))) for v in variances[:trees]]
+        chance = [1 / (1 + math.exp(min(-p.era_dart_scale * (v - middle), 700.0))) for v in variances[:trees]]
     dropped = [k for k in range(trees) if rng.random() < chance[k]]
     if len(dropped) == trees:
         dropped.remove(rng.randrange(trees))
@@ -284,6 +284,7 @@ class Booster:
         self.losses: list[float] = []
         self.era_history: list[DataFrame] = []
         self.tree_variances: list[float] = []
+        self.held: list[DataFrame] = []
         self.encoders: dict[str, tuple[DataFrame, float]] = {}
 
     # -- gradients -----------------------------------------------------------------------------------------------
@@ -302,9 +303,12 @@ class Booster:
             weights = E.era_weights(E.era_spearman(df, "era", "pred", "label", "row", self.small), p.era_method, p.era_temperature, p.era_floor)
             df = E.by_era(df, weights.select("era", "row_weight"), "era").withColumn("g", F.col("g") * F.col("row_weight")).withColumn("h", F.col("h") * F.col("row_weight")).drop("row_weight")
         if p.exposure_lambda:
+            df = self._hold(df)
             df = E.exposure_gradient(df, "x", len(self.features), "pred").withColumn("g", F.col("g") + p.exposure_lambda * F.col("egrad")).drop("egrad")
         if p.era_clip and self.era:
             df = E.mad_clip(df, "era", "g", p.era_clip, self.small).withColumn("g", F.col("clipped")).drop("clipped")
+        if p.orthogonal or p.noise_eta or p.goss or p.time_decay is not None:  # these read the gradients more than once
+            df = self._hold(df)
         if p.orthogonal:
             named = df.select("*", *[F.coalesce(F.col("x")[self.features.index(f)], F.lit(0.0)).alias(f"_o{k}") for k, f in enumerate(p.orthogonal)])
             cols = [f"_o{k}" for k in range(len(p.orthogonal))]
@@ -317,6 +321,11 @@ class Booster:
             df = df.withColumn("g", g + (F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1]) * p.noise_eta * std if p.noise_eta else 0.0))
         return df
 
+    def _hold(self, df: DataFrame) -> DataFrame:
+        """df kept until the round's end; lost parts are made again."""
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
     def sample(self, df: DataFrame) -> DataFrame:
         p, seed = self.p, self.p.seed * 1000003 + len(self.trees)
         if p.time_decay is not None and self.era:
@@ -429,6 +438,8 @@ class Booster:
             if dropped:
                 view = state.withColumn("pred", F.col("pred") - packed([(self.trees[k], self.trees[k].rate) for k in dropped])("bins"))
             tree = self.grow(self.sample(self.gradients(view)))
+            while self.held:
+                self.held.pop().unpersist()
             if self.era and (p.sharpe_threshold is not None or p.era_dart):
                 one = E.era_sharpe(E.era_spearman(view.withColumn("pred", self._value(tree)), "era", "pred", "label", "row", self.small)).first()
                 self.tree_variances.append((one["std_corr"] or 0.0) ** 2)

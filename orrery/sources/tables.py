@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.safe import null_nan
+from ..functions.safe import distinct_sketch, null_nan
 
 _own_folder = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
 
@@ -27,10 +27,10 @@ def panel(df: DataFrame, features: list[str], label: str | None = None, row: str
 def categorical_columns(df: DataFrame, columns: list[str], most: int = 20) -> list[str]:
     """Columns with at most `most` distinct values, missing ones aside, from one pass of sketches; a column whose
     sketch lies near `most` is counted exactly."""
-    row = df.agg(*[F.approx_count_distinct(null_nan(c), 0.01).alias(c) for c in columns]).first()
-    near = [c for c in columns if 0.9 * most <= row[c] <= 1.1 * most + 1]
-    exact = df.agg(*[F.count_distinct(null_nan(c)).alias(c) for c in near]).first() if near else {}
-    return [c for c in columns if (exact[c] if c in near else row[c]) <= most]
+    row = df.agg(*[distinct_sketch(null_nan(c)).alias(c) for c in columns]).first()
+    near = [c for c in columns if 0.9 * most <= (row[c] or 0) <= 1.1 * most + 1]
+    exact = df.agg(*[F.size(F.collect_set(null_nan(c))).alias(c) for c in near]).first() if near else {}
+    return [c for c in columns if (exact[c] if c in near else row[c] or 0) <= most]
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.estimators import Classifier, MultiTargetRegressor, QuantileRegressor, Ranker, RankRegressor, Regressor, Survival
-from orrery.plans.boosting import Params, best_split
+from orrery.functions import objectives as O
+from orrery.operators.splits import Rule, best, candidates
+from orrery.plans.boosting import Booster, Params, drop_set
 
 
 @pytest.fixture(scope="module")
@@ -62,14 +64,13 @@ def test_classifier_with_strings(spark, data):
 
 def test_best_split_is_the_best():
     rng = np.random.default_rng(0)
-    p = Params()
     bins, g = rng.integers(0, 6, (200, 2)), rng.normal(size=200)
     G, H, C = (np.zeros((2, 6)) for _ in range(3))
     for f in range(2):
         np.add.at(G[f], bins[:, f], g)
         np.add.at(H[f], bins[:, f], 1)
         np.add.at(C[f], bins[:, f], 1)
-    best = best_split(G, H, C, p, 5, [0, 1], 0)
+    gain = candidates((G, H, C), Rule())[0]
     s = lambda m: g[m].sum() ** 2 / (m.sum() + 1)
     gains = []
     for f in range(2):
@@ -78,7 +79,81 @@ def test_best_split_is_the_best():
                 left = (bins[:, f] <= b) & (bins[:, f] != 5) | ((bins[:, f] == 5) & (d == 0))
                 if 0 < left.sum() < 200:
                     gains.append(0.5 * (s(left) + s(~left) - s(np.ones(200, bool))))
-    assert math.isclose(best[0][0], max(gains), rel_tol=1e-9)
+    assert math.isclose(gain[best(gain)], max(gains), rel_tol=1e-9)
+
+
+def test_levels_as_jobs_and_one_task_give_the_same_model(data):
+    df, _ = data
+    same = BASE | {"growth": "hybrid", "symmetric_depth": 1, "monotone": {0: 1}}
+    one, jobs = (Regressor(**same | {"task_cells": n}).fit(df.repartition(k)) for n, k in ((10**9, 1), (0, 5)))
+    assert [r[2:9] for r in one.nodes()] == [r[2:9] for r in jobs.nodes()]
+    assert np.allclose([r[9] for r in one.nodes()], [r[9] for r in jobs.nodes()], atol=1e-9)
+
+
+def test_monotone_bounds_hold_over_whole_trees(data):
+    df, pdf = data
+    model = Regressor(**BASE | {"max_depth": 5, "n_estimators": 4, "monotone": {0: 1, 1: -1}, "growth": "depthwise"}).fit(df)
+    for name, sign in (("a", 1), ("b", -1)):
+        base = pdf.iloc[:20].fillna(0.0)
+        grid = pd.concat([base.assign(**{name: v, "grid": v}) for v in np.linspace(-3, 3, 13)])
+        out = model.transform(df.sparkSession.createDataFrame(grid)).toPandas().sort_values(["row_id", "grid"])
+        steps = out.groupby("row_id").prediction.diff().dropna()
+        assert (sign * steps >= -1e-9).all()
+
+
+def test_any_column_names(data):
+    df, _ = data
+    names = ["x", "bins", "row", "label", "era", "order", "pred", "g", "h", "node", "_row", "_f0"]
+    odd = df.select(F.col("row_id").alias("slot"), F.col("label").alias("target"), *[(F.col("a") * (k + 1) + F.col("c")).alias(n) for k, n in enumerate(names)])
+    out = Regressor(**BASE | {"features": names, "label": "target", "row": "slot"}).fit(odd).transform(odd).toPandas()
+    assert r2(out.rename(columns={"label": "_", "target": "label"})) > 0.3
+
+
+def test_missing_eras_and_text_ids(data):
+    df, _ = data
+    odd = df.withColumn("era", F.when(F.col("era") != 2, F.col("era"))).withColumn("row_id", F.concat(F.lit("r"), F.col("row_id")))
+    more = dict(era="era", era_method="hard_era", era_clip=4.0, subsample=0.8, noise_eta=0.01)
+    model = Regressor(**BASE | more).fit(odd)
+    assert model.train_state.count() == 300 and r2(model.transform(odd).toPandas()) > 0.3
+
+
+def test_saved_models_score_alike(data, tmp_path):
+    df, _ = data
+    cats = df.withColumn("kind", F.col("row_id") % 7).withColumn("label", F.col("label") + F.col("kind"))
+    model = Regressor(**BASE | {"features": ["a", "b", "kind"], "categorical": ["kind"]}).fit(cats)
+    model.save(f"{tmp_path}/m", df.sparkSession)
+    again = Booster.load(f"{tmp_path}/m", df.sparkSession, O.mse())
+    new = cats.withColumn("kind", F.col("kind") + 3)  # kinds 7 to 9 are unseen
+    assert np.allclose(*(m.transform(new).orderBy("row_id").toPandas().prediction for m in (model, again)))
+    with pytest.raises(ValueError):
+        Booster.load(f"{tmp_path}/m", df.sparkSession, O.mae())
+
+
+def test_bundles_and_drops(data):
+    df, _ = data
+    sparse = df.select("row_id", *[F.when(F.col("row_id") % 3 == k, F.abs(f) + 1).otherwise(0.0).alias(f) for k, f in enumerate("abc")], (F.col("row_id") % 3 * F.lit(2.0)).alias("label"))
+    model = Regressor(**BASE | {"bundle": True, "max_bins": 400}).fit(sparse)
+    assert len(model.bundles) == 1 and r2(model.transform(sparse).toPandas()) > 0.9
+    p = Params(dart=True, drop_rate=1.0)
+    assert all(len(drop_set(p, t, 4, [])) == 3 for t in range(5)) and drop_set(p, 0, 0, []) == []
+    steady = Params(era_dart=True, era_dart_scale=1e6, seed=1)
+    assert set(drop_set(steady, 1, 3, [0.0, 0.5, 1.0])) <= {1, 2}
+
+
+def test_sharpe_stops_and_scales(data):
+    df, _ = data
+    model = Regressor(**BASE | {"n_estimators": 8}, era="era", sharpe_patience=2, sharpe_threshold=0.5, era_dart=True).fit(df.where("row_id % 2 = 0"), df.where("row_id % 2 = 1"))
+    assert len(model.losses) >= 2 and len(model.tree_variances) == len(model.trees)
+
+
+def test_parameters():
+    model = Regressor(**BASE)
+    assert model.get_params()["max_depth"] == 3 and model.clone(max_depth=4).params.max_depth == 4 and model.set_params(seed=9).params.seed == 9
+    for bad in ({"growth": "sideways"}, {"subsample": 0.0}, {"max_bins": 1}, {"monotone": {0: 3}}):
+        with pytest.raises(ValueError):
+            Params(**bad)
+    with pytest.raises(ValueError):
+        Regressor(features=["a"], objective="none")
 
 
 @pytest.mark.parametrize("kind", ["spearman", "neutral", "max_sharpe"])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import frame_objectives as O
 from orrery.functions import objectives
-from orrery.operators import bundling
+from orrery.operators import bundling, tree
 
 
 def normed(y):
@@ -78,9 +78,10 @@ def test_bundles(spark):
     df = spark.createDataFrame(pdf)
     edges = {c: [1.25, 1.5, 1.75] for c in "abcd"}
     assert bundling.find_bundles(df, edges) == [["d"], ["a", "b", "c"]]
-    assert bundling.find_bundles(df, edges, max_bins=8) == [["d"], ["a", "b"], ["c"]]
-    got = df.select("*", bundling.merged(["a", "b", "c"], edges, 255).alias("bin")).toPandas()
+    assert bundling.find_bundles(df, edges, max_bins=9) == [["d"], ["a", "b"], ["c"]]
+    merged = tree.bin_column([F.col(c) for c in "abc"], [edges[c] for c in "abc"], 255, [[0, 1, 2]])
+    got = df.select("*", merged[0].alias("bin")).toPandas()
     for k, c in enumerate("abc"):
         rows = got[got[c].fillna(0) != 0]
-        assert (rows.bin == np.digitize(rows[c], edges[c]) + 4 * k).all()
-    assert bundling.find_bundles(df.limit(0), edges, max_bins=4) == [["a"], ["b"], ["c"], ["d"]]
+        assert (rows.bin == np.digitize(rows[c], edges[c]) + 4 * k + 1).all()
+    assert bundling.find_bundles(df.limit(0), edges, max_bins=5) == [["a"], ["b"], ["c"], ["d"]]

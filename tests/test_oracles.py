@@ -32,6 +32,10 @@ def same(a: pd.DataFrame, b: pd.DataFrame, places: float = 2e-6):
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
 
 
-@pytest.mark.parametrize("name", sorted(engine.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(engine.queries()))
 def test_same_as_sql(spark, db, name):
-    same(engine.queries()[name](spark, SF).toPandas(), db.sql(engine.oracle_sql()[name]).df())
+    got = engine.queries()[name](spark, SF).toPandas()
+    if name in engine.oracle_sql():
+        same(got, db.sql(engine.oracle_sql()[name]).df())
+    else:
+        assert len(got)
