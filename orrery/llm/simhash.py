@@ -41,7 +41,7 @@ def terms(text: Column) -> Column:
 def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, fp): the fingerprint of each row's text as a long; keys must tell rows apart."""
     exploded = df.select(*keys, F.posexplode_outer(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("at", "term"))
-    votes = exploded.select(*keys, F.coalesce(F.floor(F.col("at") / BLOCK), F.lit(0)).cast("int").alias("block"), F.xxhash64("term").alias("h"), F.coalesce(F.least(F.lit(3), F.floor(F.length("term") / 6) + 1), F.lit(0)).cast("long").alias("w"))
+    votes = exploded.select(*keys, F.coalesce(F.floor(F.col("at") / BLOCK), F.lit(0)).cast("int").alias("block"), F.xxhash64("term").alias("h"), F.when(F.col("term").isNull(), 0).otherwise(F.least(F.lit(3), F.floor(F.length("term") / 6) + 1)).cast("long").alias("w"))
     spread = 1 | (1 << 16) | (1 << 32) | (1 << 48)
     packed = [F.sum(F.shiftrightunsigned(F.col("h"), k).bitwiseAND(spread) * F.col("w")).alias(f"s{k}") for k in range(WORDS)]
     blocks = votes.groupBy(*keys, "block").agg(*packed, F.sum("w").alias("w"))
