@@ -227,44 +227,50 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
-def block_pairs(members: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def block_pairs(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
     """Pairs of different components inside long lists that pass the sketch filter, found block against block.
 
-    members: (key, len, node, root, n, least, sketch, open), where open holds all keys of the node's open lists; a
-    pair comes from the smallest key that both have.  A list of m members makes (m / block)^2 / 2 squares; each row
-    goes to m / block of them, and a square returns only the pairs that pass."""
-    count = F.ceil(F.col("len") / block).cast("int")
-    cell = F.pmod(F.xxhash64("node"), count.cast("long")).cast("int")
-    squares = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.least(j, cell).alias("r"), F.greatest(j, cell).alias("c")))
-    dealt = members.withColumn("cell", cell).withColumn("square", F.explode(squares)).select("key", "square.r", "square.c", "cell", "node", "root", "n", "least", "sketch", "open")
+    members: (key, len, minor, major, node, root, n, least, sketch, open): minor says how many members of the list lie outside
+    its largest component, major is that component's root, and open holds all keys of the node's open lists; a pair
+    comes from the smallest key that both have.  Two members of the largest component need no comparison, so blocks of
+    the others meet blocks of all members: a row of the largest component goes to minor / block squares, one of the
+    others to len / block more.  A square returns only the pairs that pass."""
+    lots, cells = F.ceil(F.col("minor") / block).cast("int"), F.ceil(F.col("len") / block).cast("int")
+    cell = lambda count: F.pmod(F.xxhash64("node"), count.cast("long")).cast("int")
+    lefts = F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.struct(cell(lots).alias("r"), j.alias("c"), F.lit(True).alias("left")))
+    rights = F.transform(F.sequence(F.lit(0), lots - 1), lambda j: F.struct(j.alias("r"), cell(cells).alias("c"), F.lit(False).alias("left")))
+    squares = F.when(F.col("root") == F.col("major"), rights).otherwise(F.concat(lefts, rights))
+    dealt = members.withColumn("square", F.explode(squares)).select("key", "square.r", "square.c", "square.left", "node", "root", "n", "least", "sketch", "open")
 
     def compare(table: pa.Table) -> pa.Table:
-        key, r, c = (table[x][0].as_py() for x in ("key", "r", "c"))
-        nodes, roots, sizes, least, cells = (table[x].to_numpy() for x in ("node", "root", "n", "least", "cell"))
+        key = table["key"][0].as_py()
+        nodes, roots, sizes, least = (table[x].to_numpy() for x in ("node", "root", "n", "least"))
+        side = table["left"].to_numpy(zero_copy_only=False).astype(bool)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
         kept = matrix(table["sketch"])
-        known, codes = np.unique(kept, return_inverse=True)
-        has = np.zeros((len(kept), len(known)), np.float32)
-        has[np.arange(len(kept))[:, None], codes.reshape(kept.shape)] = 1
-        has[:, known == _NONE] = 0
-        opens = table["open"].to_pylist()
-        left, right = (np.flatnonzero(cells == r), np.flatnonzero(cells == c))
+        known, codes, times = np.unique(kept, return_inverse=True, return_counts=True)
+        shared = (times > 1) & (known != _NONE)
+        column = np.cumsum(shared) - 1
+        codes = codes.reshape(kept.shape)
+        rows, places = np.nonzero(shared[codes])
+        has = np.zeros((len(kept), int(shared.sum())), np.float32)
+        has[rows, column[codes[rows, places]]] = 1
+        opens = [set(x) for x in table["open"].to_pylist()]
         common = has[left] @ has[right].T
         out_a, out_b = [], []
         for k, i in enumerate(left):
             n, m = sizes[i], sizes[right]
             maybe = (roots[right] != roots[i]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (common[k] >= np.maximum(least[i], least[right]))
-            if r == c:
-                maybe &= nodes[right] > nodes[i]
             j = right[maybe]
             if not len(j):
                 continue
             same, filled = union_overlap(np.repeat(kept[i : i + 1], len(j), 0), kept[j])
             for x in j[plausible(same, filled, sizes[i] + sizes[j], percent)]:
-                if min(set(opens[i]).intersection(opens[x])) == key:
+                if min(opens[i] & opens[x]) == key:
                     out_a.append(min(nodes[i], nodes[x])), out_b.append(max(nodes[i], nodes[x]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return dealt.groupBy("key", "r", "c").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("key", "r", "c").applyInArrow(compare, "a long, b long").distinct()
 
 
 def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, short: int) -> DataFrame:
@@ -276,8 +282,8 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, short: i
     roots = components(edges)
     long = lists.where(F.col("len") > short).select("key", "len")
     labelled = entries.join(long, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_lists = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    opened = written(labelled.join(open_lists, "key"))
+    by_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.count(F.lit(1)).alias("roots"))
+    opened = written(labelled.join(by_root.where("roots > 1"), "key").select("key", "len", (F.col("len") - F.col("most")).alias("minor"), "major", "node", "root"))
     per_node = reps.select("node", "n", "least", "sketch").join(opened.groupBy("node").agg(F.collect_list("key").alias("open")), "node")
     left = written(block_pairs(opened.join(per_node, "node"), percent).join(pairs, ["a", "b"], "left_anti"))
     if not left.isEmpty():
