@@ -37,6 +37,8 @@ from ..sources.tables import forget, written
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Values that a sketch retains.
 KEPT = 64
+#: Values that are looked at where long lists are compared in blocks.
+FINE = 384
 #: Bound of the chance that a linked pair has fewer retained values in common than least_common says.
 MISSED = 1e-6
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -90,23 +92,23 @@ def least_common(n: int, percent: int) -> int:
 
 def union_overlap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of two matrices of sketches (ascending, filled up with _NONE): how many of the smallest values of the
-    union, KEPT at most, both have, and how many there are."""
+    union, as many as the matrices are wide at most, both have, and how many there are."""
     z = np.concatenate([a, b], 1)
     z.sort(1)
     new = z != _NONE
     twin = (z[:, 1:] == z[:, :-1]) & new[:, 1:]
     new[:, 1:] &= ~twin
-    inside = new.cumsum(1) <= KEPT
+    inside = new.cumsum(1) <= a.shape[1]
     return (twin & inside[:, 1:]).sum(1), (new & inside).sum(1)
 
 
-def matrix(column) -> np.ndarray:
-    """Sketches of an Arrow list column as rows of KEPT values."""
+def matrix(column, width: int = KEPT) -> np.ndarray:
+    """Sketches of an Arrow list column as rows of `width` values."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
-    out = np.full((len(sizes), KEPT), _NONE)
-    out[np.arange(KEPT) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    out = np.full((len(sizes), width), _NONE)
+    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     return out
 
 
@@ -138,6 +140,23 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent:
     return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, d1 long, d2 long, least int, sketch array<long>")
 
 
+def fine_sketches(nodes: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, fine): the FINE smallest values of the sets of some classes, made from their texts once more."""
+    wanted = reps.select("node", "id", "d1").join(nodes, "node", "left_semi")
+
+    def run(batches):
+        shingles = Shingles(width)
+        for batch in batches:
+            found = []
+            for node, d, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                s = shingles(text)
+                if int.from_bytes(xxhash.xxh128_digest(s.tobytes())[:8], "little", signed=True) == d:
+                    found.append((node, s[:FINE].view(np.int64)))
+            yield pa.RecordBatch.from_pydict({"node": pa.array([n for n, _ in found], pa.int64()), "fine": pa.array([f for _, f in found], pa.list_(pa.int64()))})
+
+    return texts.join(wanted, "id").select("node", "d1", "text").mapInArrow(run, "node long, fine array<long>").dropDuplicates(["node"])
+
+
 def classes(base: DataFrame) -> DataFrame:
     """(node, id, copies, n, d1, d2, least, sketch): one row per distinct set, with its smallest id.  To be written at
     once: node only tells classes apart within what is written."""
@@ -230,45 +249,54 @@ def components(edges: DataFrame) -> DataFrame:
 def block_pairs(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
     """Pairs of different components inside long lists that pass the sketch filter, found block against block.
 
-    members: (key, len, minor, major, node, root, n, least, sketch, open): minor says how many members of the list lie outside
+    members: (key, len, minor, major, node, root, n, least, sketch, fine, open): minor says how many members of the list lie outside
     its largest component, major is that component's root, and open holds all keys of the node's open lists; a pair
     comes from the smallest key that both have.  Two members of the largest component need no comparison, so blocks of
     the others meet blocks of all members: a row of the largest component goes to minor / block squares, one of the
-    others to len / block more.  A square returns only the pairs that pass."""
+    others to len / block more.  Pairs with enough common retained values are estimated from `fine`, which is exact for
+    sets of up to FINE shingles together; a square returns only the pairs that pass."""
     lots, cells = F.ceil(F.col("minor") / block).cast("int"), F.ceil(F.col("len") / block).cast("int")
     cell = lambda count: F.pmod(F.xxhash64("node"), count.cast("long")).cast("int")
     lefts = F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.struct(cell(lots).alias("r"), j.alias("c"), F.lit(True).alias("left")))
     rights = F.transform(F.sequence(F.lit(0), lots - 1), lambda j: F.struct(j.alias("r"), cell(cells).alias("c"), F.lit(False).alias("left")))
     squares = F.when(F.col("root") == F.col("major"), rights).otherwise(F.concat(lefts, rights))
-    dealt = members.withColumn("square", F.explode(squares)).select("key", "square.r", "square.c", "square.left", "node", "root", "n", "least", "sketch", "open")
+    dealt = members.withColumn("square", F.explode(squares)).select("key", "square.r", "square.c", "square.left", "node", "root", "n", "least", "sketch", "fine", "open")
 
-    def compare(table: pa.Table) -> pa.Table:
-        key = table["key"][0].as_py()
-        nodes, roots, sizes, least = (table[x].to_numpy() for x in ("node", "root", "n", "least"))
-        side = table["left"].to_numpy(zero_copy_only=False).astype(bool)
-        left, right = np.flatnonzero(side), np.flatnonzero(~side)
-        kept = matrix(table["sketch"])
+    j = percent / 100
+
+    def shared_counts(kept: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         known, codes, times = np.unique(kept, return_inverse=True, return_counts=True)
         shared = (times > 1) & (known != _NONE)
-        column = np.cumsum(shared) - 1
         codes = codes.reshape(kept.shape)
         rows, places = np.nonzero(shared[codes])
         has = np.zeros((len(kept), int(shared.sum())), np.float32)
-        has[rows, column[codes[rows, places]]] = 1
-        opens = [set(x) for x in table["open"].to_pylist()]
-        common = has[left] @ has[right].T
-        out_a, out_b = [], []
-        for k, i in enumerate(left):
-            n, m = sizes[i], sizes[right]
-            maybe = (roots[right] != roots[i]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (common[k] >= np.maximum(least[i], least[right]))
-            j = right[maybe]
-            if not len(j):
-                continue
-            same, filled = union_overlap(np.repeat(kept[i : i + 1], len(j), 0), kept[j])
-            for x in j[plausible(same, filled, sizes[i] + sizes[j], percent)]:
-                if min(opens[i] & opens[x]) == key:
-                    out_a.append(min(nodes[i], nodes[x])), out_b.append(max(nodes[i], nodes[x]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+        has[rows, (np.cumsum(shared) - 1)[codes[rows, places]]] = 1
+        return has[left] @ has[right].T
+
+    def compare(table: pa.Table) -> pa.Table:
+        key = table["key"][0].as_py()
+        nodes, roots, sizes, least = (table[x].to_numpy() for x in ("node", "root", "n", "least"))
+        side = table["left"].to_numpy(zero_copy_only=False).astype(bool)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        n, m = sizes[left][:, None], sizes[right][None, :]
+        ok = (roots[left][:, None] != roots[right][None, :]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+        ok &= shared_counts(matrix(table["sketch"]), left, right) >= np.maximum(least[left][:, None], least[right][None, :])
+        fine = matrix(table["fine"], FINE)
+        common = shared_counts(fine, left, right)
+        likeness = common / np.maximum(np.minimum(n, FINE) + np.minimum(m, FINE) - common, 1)
+        whole = (n <= FINE) & (m <= FINE)
+        # of sets known whole this is their likeness; of others no linked pair falls below, see least_common
+        ok &= likeness >= np.where(whole, j - 0.001, (j - 0.1) / (2 - j + 0.1))
+        at_left, at_right = np.nonzero(ok)
+        a, b, sure = left[at_left], right[at_right], whole[at_left, at_right]
+        for k in range(0, len(a), 4096):
+            rest = np.flatnonzero(~sure[k : k + 4096]) + k
+            if len(rest):
+                same, filled = union_overlap(fine[a[rest]], fine[b[rest]])
+                sure[rest] = plausible(same, filled, sizes[a[rest]] + sizes[b[rest]], percent)
+        opens = {int(i): set(table["open"][int(i)].as_py()) for i in np.union1d(a, b)}
+        pairs = {(min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for x, y in zip(a[sure].tolist(), b[sure].tolist(), strict=True) if min(opens[x] & opens[y]) == key}
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
     return dealt.groupBy("key", "r", "c").applyInArrow(compare, "a long, b long").distinct()
 
@@ -285,10 +313,11 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, short: i
     by_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.count(F.lit(1)).alias("roots"))
     opened = written(labelled.join(by_root.where("roots > 1"), "key").select("key", "len", (F.col("len") - F.col("most")).alias("minor"), "major", "node", "root"))
     per_node = reps.select("node", "n", "least", "sketch").join(opened.groupBy("node").agg(F.collect_list("key").alias("open")), "node")
-    left = written(block_pairs(opened.join(per_node, "node"), percent).join(pairs, ["a", "b"], "left_anti"))
+    fine = written(fine_sketches(opened.select("node").distinct(), reps, texts, width))
+    left = written(block_pairs(opened.join(per_node, "node").join(fine, "node"), percent).join(pairs, ["a", "b"], "left_anti"))
     if not left.isEmpty():
         roots = components(edges.unionByName(confirmed(left, reps, texts, width, percent)))
-    forget(entries, lists, pairs, opened, left)
+    forget(entries, lists, pairs, opened, fine, left)
     return roots
 
 
