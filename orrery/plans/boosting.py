@@ -427,10 +427,10 @@ class Booster:
         self.bundles = [[self.features.index(f) for f in b] for b in names]
         self.base = float(train.agg(self.objective.init(F.col(self.label).cast("double"))).first()[0] or 0.0)
         state = written(self._state(train))
-        tables = [state]
         self.rows = state.count()
         self.small = E.small_groups(state, ["era"]) if self.era else False
         held = written(self._state(self._encoded(valid))) if valid is not None else None
+        tables, pending = [state, held], []  # as written last, and the trees since
         best_, self.best_round, waited = None, -1, 0
         for t in range(p.n_estimators):
             dropped = drop_set(p, t, len(self.trees), self.tree_variances)
@@ -445,23 +445,17 @@ class Booster:
                 self.tree_variances.append((one["std_corr"] or 0.0) ** 2)
                 if p.sharpe_threshold is not None and (one["sharpe"] or 0.0) < p.sharpe_threshold:
                     tree.rate *= max(one["sharpe"] or 0.0, 0.0) / p.sharpe_threshold if p.sharpe_threshold > 0 else 1.0
-            step = F.lit(tree.rate) * self._value(tree)
-            if dropped:  # the dropped trees and the new one share their weight
-                k = len(dropped)
-                tree.rate /= 1 + k
-                step = packed([(tree, tree.rate), *((self.trees[i], -self.trees[i].rate / (1 + k)) for i in dropped)])("bins")
-                for i in dropped:
-                    self.trees[i].rate *= k / (1 + k)
+            k = len(dropped)  # the dropped trees and the new one share their weight
+            tree.rate /= 1 + k
+            pending += [(tree, tree.rate), *((self.trees[i], -self.trees[i].rate / (1 + k)) for i in dropped)]
+            for i in dropped:
+                self.trees[i].rate *= k / (1 + k)
             self.trees.append(tree)
-            state = state.withColumn("pred", F.col("pred") + step)
-            if held is not None:
-                held = held.withColumn("pred", F.col("pred") + step)
+            state, held = (x and x.withColumn("pred", F.col("pred") + packed(pending)("bins")) for x in tables)
             if (t + 1) % p.cut_every == 0:
-                state = written(state)
-                tables.append(state)
-                forget(*tables[:-1])
-                tables = tables[-1:]
-                held = written(held) if held is not None else None
+                spent, tables, pending = tables, [x and written(x) for x in (state, held)], []
+                forget(*filter(None, spent))
+                state, held = tables
             if held is not None and (p.early_stopping or p.sharpe_patience):
                 now = self._held_loss(held)
                 self.losses.append(now)
