@@ -7,9 +7,11 @@ rolling hash over the last `window` line hashes ends a chunk wherever it is 0 mo
 least `passage_words` words is a chunk alone.  A chunk of several lines (or of one such line) is kept only where
 it occurs first, however short.
 
-Runs and chunks meet by two 64-bit hashes of their lines in one hash aggregate that keeps the first place of each,
-so one that fills a third of all rows is reduced before it is shuffled.  First places are gathered per document,
-and the texts, shuffled once, lose what isn't first; nothing is joined on a run.
+Chunks of one hash are compared byte by byte: the hash aggregate that finds the first place of each groups them by
+their text as well, so chunks of equal hashes and different texts are different chunks.  Runs overlap from line to
+line and would be shipped many times; they meet by two 64-bit hashes of their lines alone.  A run or chunk that
+fills a third of all rows is reduced before it is shuffled.  First places are gathered per document, and the texts,
+shuffled once, lose what isn't first; nothing is joined on a run.
 
 A document is an id and a text: equal rows are one document and each keeps its row, rows that share an id but not
 a text are told apart by 20 bits of the text's hash, which also order them.  Ids that are no whole numbers are
@@ -133,28 +135,35 @@ def _span(s: Column, bits: int) -> tuple[Column, Column]:
     return first, first + s.bitwiseAND((1 << bits) - 1).cast("int")
 
 
+def _meeting(kind: int, marks: Column) -> tuple[Column, Column]:
+    """Two hashes of the lines of a run (kind 0) or chunk (kind 1)."""
+    return F.xxhash64(F.lit(kind), marks), F.xxhash64(F.lit(kind + 2), marks)
+
+
 def first_places(df: DataFrame, id_col: str, text_col: str, window: int = 2, modulus: int = 3, passage_words: int = 50) -> DataFrame:
     """(_id, _firsts): per document the places of the runs and chunks that occur there first."""
     bits = passage_words.bit_length()
     lined = _settled(df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(document(df, id_col, text_col).cast("decimal(28,0)").alias("_id"), F.col(text_col).alias("_t")), "lines", F.split("_t", "\n")).drop("_t")
-    ready = _settled(_runs(_cut(lined, window, modulus, passage_words), passage_words), "marks", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))).drop("lines")
+    ready = _settled(_runs(_cut(lined, window, modulus, passage_words), passage_words), "marks", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))))
 
-    def keyed(kind: int, place: Column, first: Column, last: Column) -> Column:
-        part = F.slice("marks", first + 1, last - first + 1)
-        return F.struct(place.cast("long").alias("place"), F.xxhash64(F.lit(kind), part).alias("k"), F.xxhash64(F.lit(kind + 2), part).alias("l"))
+    def keyed(kind: int, place: Column, first: Column, last: Column, body: Column) -> Column:
+        k, l = _meeting(kind, F.slice("marks", first + 1, last - first + 1))  # noqa: E741
+        return F.struct(place.cast("long").alias("place"), k.alias("k"), l.alias("l"), body.alias("body"))
 
     def run(s: Column) -> Column:
         first, last = _span(s, bits)
-        return keyed(0, s, F.get("filled", first), F.get("filled", last))
+        return keyed(0, s, F.get("filled", first), F.get("filled", last), F.lit(None).cast("string"))
 
     def chunk(last: Column, k: Column) -> Column:
-        return F.when((last > _first_line(k)) | F.get("hashes", last)["long"], keyed(1, k.cast("long") + CHUNKS, _first_line(k), last))
+        first = _first_line(k)
+        body = F.array_join(F.slice("lines", first + 1, last - first + 1), "\n")
+        return F.when((last > first) | F.get("hashes", last)["long"], keyed(1, k.cast("long") + CHUNKS, first, last, body))
 
     parts = F.concat(F.transform("spans", run), F.filter(F.transform("cuts", chunk), lambda c: c.isNotNull()))
     rows = ready.select("_id", F.inline(parts))
     # an id of 63 bits, 20 bits of its text and 41 of the place are less than 10^38
     at = F.col("_id").cast("decimal(38,0)") * F.lit(SPOTS).cast("decimal(13,0)") + F.col("place")
-    first = rows.select("k", "l", at.cast("decimal(38,0)").alias("at")).groupBy("k", "l").agg(F.min("at").alias("at"))
+    first = rows.select("k", "l", "body", at.cast("decimal(38,0)").alias("at")).groupBy("k", "l", "body").agg(F.min("at").alias("at"))
     spots = F.lit(SPOTS).cast("decimal(38,0)")
     placed = first.select("at", F.pmod("at", spots).cast("long").alias("place"))
     owner = ((F.col("at") - F.col("place")) / spots).cast("decimal(28,0)")

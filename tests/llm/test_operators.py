@@ -113,6 +113,20 @@ def test_line_dedup(spark, none):
     assert {r["body"] for r in line_dedup.chunk_rows(df, "doc_id", "text").collect()} == chunks
 
 
+def test_chunks_are_compared_by_bytes(spark, monkeypatch):
+    """Chunks whose hashes all collide are removed only where their bytes are equal."""
+    rows = [(k, "\n".join([f"own {k}"] + [f"line {i} of passage {k % 3}" for i in range(9)])) for k in range(6)]
+    rows += [(10, "two\nlines"), (11, "two\nlines\nmore"), (12, None), (13, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: r["text"] for i, r in by_id(line_dedup.dedup(df)).items()}
+    assert [want[k] == t for k, t in rows[:3]] == [True] * 3 and all(want[k] != t for k, t in rows[3:6])
+    plain = line_dedup._meeting
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "_meeting", lambda kind, marks: (F.lit(7).cast("long"),) * 2 if kind else plain(kind, marks))
+    assert {i: r["text"] for i, r in by_id(line_dedup.dedup(df)).items()} == want
+
+
 def test_near_duplicates(spark, docs, none):
     out = by_id(neardup.near_duplicates(docs))
     assert out[5]["component_id"] == out[6]["component_id"] == 4 and out[4]["kept"] and not out[6]["kept"]
