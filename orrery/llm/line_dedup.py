@@ -136,8 +136,8 @@ def _span(s: Column, bits: int) -> tuple[Column, Column]:
 
 
 def _meeting(kind: int, marks: Column) -> tuple[Column, Column]:
-    """Two hashes of the lines of a run (kind 0) or chunk (kind 1)."""
-    return F.xxhash64(F.lit(kind), marks), F.xxhash64(F.lit(kind + 2), marks)
+    """Two hashes of the lines of a run (kind 0); one of a chunk (kind 1), whose text is compared too."""
+    return F.xxhash64(F.lit(kind), marks), F.lit(0).cast("long") if kind else F.xxhash64(F.lit(2), marks)
 
 
 def first_places(df: DataFrame, id_col: str, text_col: str, window: int = 2, modulus: int = 3, passage_words: int = 50) -> DataFrame:
@@ -175,9 +175,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     bits = passage_words.bit_length()
     firsts = first_places(df, id_col, text_col, window, modulus, passage_words)
     columns = [c for c in df.columns if c != "_chunks"]
-    packed = df.select(F.struct(*columns).alias("_row"), document(df, id_col, text_col).cast("decimal(28,0)").alias("_key"), F.col(text_col).alias("_t"))
+    packed = df.select(F.struct(*columns).alias("_row"), document(df, id_col, text_col).cast("decimal(28,0)").alias("_key"))
     joined = packed.join(firsts, F.col("_key") == F.col("_id"), "left").drop("_id")
-    lined = _settled(joined, "lines", F.split("_t", "\n")).drop("_t")
+    lined = _settled(joined, "lines", F.split(F.col(f"_row.`{text_col}`"), "\n"))
     ready = _runs(_cut(lined, window, modulus, passage_words), passage_words)
     repeated = lambda places: F.when(F.col("_key").isNull(), F.array().cast("array<bigint>")).otherwise(F.array_except(places, F.coalesce("_firsts", F.array().cast("array<bigint>"))))
     shared = F.filter(F.transform("cuts", lambda last, k: F.when((last > _first_line(k)) | F.get("hashes", last)["long"], k.cast("long") + CHUNKS)), lambda k: k.isNotNull())
