@@ -41,6 +41,8 @@ KEPT = 64
 FINE = 384
 #: Bound of the chance that a linked pair has fewer retained values in common than least_common says.
 MISSED = 1e-6
+#: Edges that the driver may join to components: a few MB there.
+FEW = 1 << 16
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -226,8 +228,29 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, p
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge; root is the smallest node of its component."""
+def few_components(edges: pa.Table) -> pa.Table:
+    """components of edges that fit in memory."""
+    known: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while known.setdefault(x, x) != x:
+            known[x] = known[known[x]]
+            x = known[x]
+        return x
+
+    for a, b in zip(edges["a"].to_pylist(), edges["b"].to_pylist(), strict=True):
+        a, b = top(a), top(b)
+        known[max(a, b)] = min(a, b)
+    nodes = list(known)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([top(x) for x in nodes], pa.int64())})
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
+    """(node, root) of every node with an edge; root is the smallest node of its component.  Up to `few` edges are
+    joined by the driver, which saves a table for each step; more never reach it."""
+    head = edges.select("a", "b").limit(few + 1).toArrow()
+    if head.num_rows <= few:
+        return edges.sparkSession.createDataFrame(few_components(head), "node long, root long")
     state = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     seen = None
     while True:
@@ -246,6 +269,77 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
+def shared_counts(kept: np.ndarray, left: np.ndarray, right: np.ndarray, often: int = 2048, at_once: int = 1 << 20) -> np.ndarray:
+    """How many values each of the rows `left` of a matrix of sketches has in common with each of the rows `right`.
+
+    Values that more than `often` pairs of rows share are counted by matrix products, 1024 of them at once, and the
+    others pair by pair, about `at_once` pairs at once: memory goes by the rows, not by how many values they share."""
+    codes = np.unique(kept, return_inverse=True)[1].reshape(kept.shape)
+
+    def places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, place = np.nonzero(kept[rows] != _NONE)
+        own = codes[rows[at], place]
+        order = np.argsort(own, kind="stable")
+        return own[order], at[order]
+
+    (a, at_a), (b, at_b) = places(left), places(right)
+    times_a, times_b = (np.bincount(x, minlength=kept.size + 1) for x in (a, b))
+    pairs = times_a * times_b
+    out = np.zeros((len(left), len(right)), np.int32)
+
+    seldom = np.flatnonzero((pairs[a] > 0) & (pairs[a] <= often))
+    rows, times, first = at_a[seldom], times_b[a[seldom]], (times_b.cumsum() - times_b)[a[seldom]]
+    for part in np.split(np.arange(len(seldom)), np.flatnonzero(np.diff(times.cumsum() // at_once)) + 1):
+        n = times[part]
+        met = np.arange(n.sum()) + np.repeat(first[part] - n.cumsum() + n, n)
+        out += np.bincount(np.repeat(rows[part], n) * len(right) + at_b[met], minlength=out.size).reshape(out.shape)
+
+    common = np.flatnonzero(pairs > often)
+    for k in range(0, len(common), 1024):
+        part = common[k : k + 1024]
+        has = []
+        for x, at, n in ((a, at_a, len(left)), (b, at_b, len(right))):
+            inside = slice(np.searchsorted(x, part[0]), np.searchsorted(x, part[-1], "right"))
+            place = np.searchsorted(part, x[inside])
+            known = part[place] == x[inside]
+            has.append(np.zeros((n, len(part)), np.float32))
+            has[-1][at[inside][known], place[known]] = 1
+        out += (has[0] @ has[1].T).astype(np.int32)
+    return out
+
+
+def compared(table: pa.Table, percent: int) -> pa.Table:
+    """(a, b), a < b: the pairs of one square of block_pairs that pass the sketch filter."""
+    key, j = table["key"][0].as_py(), percent / 100
+    nodes, roots, sizes, least = (table[x].to_numpy() for x in ("node", "root", "n", "least"))
+    side = table["left"].to_numpy(zero_copy_only=False).astype(bool)
+    left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    n, m = sizes[left][:, None], sizes[right][None, :]
+    ok = (roots[left][:, None] != roots[right][None, :]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+    ok &= shared_counts(matrix(table["sketch"]), left, right) >= np.maximum(least[left][:, None], least[right][None, :])
+    fine = matrix(table["fine"], FINE)
+    common = shared_counts(fine, left, right)
+    likeness = common / np.maximum(np.minimum(n, FINE) + np.minimum(m, FINE) - common, 1)
+    whole = (n <= FINE) & (m <= FINE)
+    # of sets known whole this is their likeness; of others no linked pair falls below, see least_common
+    ok &= likeness >= np.where(whole, j - 0.001, (j - 0.1) / (2 - j + 0.1))
+    at_left, at_right = np.nonzero(ok)
+    a, b, sure = left[at_left], right[at_right], whole[at_left, at_right]
+    opens = {int(i): set(table["open"][int(i)].as_py()) for i in np.union1d(a, b)}
+    found = [np.zeros((0, 2), np.int64)]
+    for k in range(0, len(a), 4096):
+        x, y, passed = (v[k : k + 4096] for v in (a, b, sure))
+        rest = np.flatnonzero(~passed)
+        if len(rest):
+            same, filled = union_overlap(fine[x[rest]], fine[y[rest]])
+            passed[rest] = plausible(same, filled, sizes[x[rest]] + sizes[y[rest]], percent)
+        x, y = x[passed], y[passed]
+        own = np.fromiter((min(opens[p] & opens[q]) == key for p, q in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+        found.append(np.sort(np.stack([nodes[x[own]], nodes[y[own]]], 1), 1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
 def block_pairs(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
     """Pairs of different components inside long lists that pass the sketch filter, found block against block.
 
@@ -262,41 +356,8 @@ def block_pairs(members: DataFrame, percent: int, block: int = 1024) -> DataFram
     squares = F.when(F.col("root") == F.col("major"), rights).otherwise(F.concat(lefts, rights))
     dealt = members.withColumn("square", F.explode(squares)).select("key", "square.r", "square.c", "square.left", "node", "root", "n", "least", "sketch", "fine", "open")
 
-    j = percent / 100
-
-    def shared_counts(kept: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        known, codes, times = np.unique(kept, return_inverse=True, return_counts=True)
-        shared = (times > 1) & (known != _NONE)
-        codes = codes.reshape(kept.shape)
-        rows, places = np.nonzero(shared[codes])
-        has = np.zeros((len(kept), int(shared.sum())), np.float32)
-        has[rows, (np.cumsum(shared) - 1)[codes[rows, places]]] = 1
-        return has[left] @ has[right].T
-
     def compare(table: pa.Table) -> pa.Table:
-        key = table["key"][0].as_py()
-        nodes, roots, sizes, least = (table[x].to_numpy() for x in ("node", "root", "n", "least"))
-        side = table["left"].to_numpy(zero_copy_only=False).astype(bool)
-        left, right = np.flatnonzero(side), np.flatnonzero(~side)
-        n, m = sizes[left][:, None], sizes[right][None, :]
-        ok = (roots[left][:, None] != roots[right][None, :]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
-        ok &= shared_counts(matrix(table["sketch"]), left, right) >= np.maximum(least[left][:, None], least[right][None, :])
-        fine = matrix(table["fine"], FINE)
-        common = shared_counts(fine, left, right)
-        likeness = common / np.maximum(np.minimum(n, FINE) + np.minimum(m, FINE) - common, 1)
-        whole = (n <= FINE) & (m <= FINE)
-        # of sets known whole this is their likeness; of others no linked pair falls below, see least_common
-        ok &= likeness >= np.where(whole, j - 0.001, (j - 0.1) / (2 - j + 0.1))
-        at_left, at_right = np.nonzero(ok)
-        a, b, sure = left[at_left], right[at_right], whole[at_left, at_right]
-        for k in range(0, len(a), 4096):
-            rest = np.flatnonzero(~sure[k : k + 4096]) + k
-            if len(rest):
-                same, filled = union_overlap(fine[a[rest]], fine[b[rest]])
-                sure[rest] = plausible(same, filled, sizes[a[rest]] + sizes[b[rest]], percent)
-        opens = {int(i): set(table["open"][int(i)].as_py()) for i in np.union1d(a, b)}
-        pairs = {(min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for x, y in zip(a[sure].tolist(), b[sure].tolist(), strict=True) if min(opens[x] & opens[y]) == key}
-        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+        return compared(table, percent)
 
     return dealt.groupBy("key", "r", "c").applyInArrow(compare, "a long, b long").distinct()
 

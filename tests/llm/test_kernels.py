@@ -1,6 +1,7 @@
 """Kernels against brute force, without Spark."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -149,3 +150,21 @@ def test_classifiers_learn_and_take_empty_texts():
         assert net.languages[int(net.log_odds(langid.windows(text.encode(), net.window)).mean(0).argmax())] == lang
     assert quality.train([], []).bias.shape == (2,)
     assert langid.train([], []).languages == []
+
+
+def test_common_values_are_counted_in_bounded_memory():
+    rng = np.random.default_rng(9)
+    left, right = np.arange(0, 400, 2), np.arange(1, 400, 2)
+    values = np.arange(200 * neardup.FINE)
+    spread = np.concatenate([x.reshape(200, neardup.FINE) for x in (values, rng.permutation(values))])  # each value in one row of either side
+    spread = np.sort(spread[np.argsort(np.tile(np.arange(200), 2), kind="stable")], 1).astype(np.uint64)
+    dense = np.sort(np.stack([rng.permutation(600)[: neardup.FINE] for _ in range(400)]), 1).astype(np.uint64)
+    dense[:50, 300:] = neardup._NONE
+    for kept in (spread, dense):
+        tracemalloc.start()
+        got = neardup.shared_counts(kept, left, right)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        sets = [set(r.tolist()) - {int(neardup._NONE)} for r in kept]
+        assert got.tolist() == [[len(sets[a] & sets[b]) for b in right] for a in left]
+        assert peak < 64e6  # one column for each shared value took over 240 MB on the first

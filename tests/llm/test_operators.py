@@ -1,6 +1,7 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -224,3 +225,16 @@ def test_pipeline_near_stage_threshold(spark):
     rows = [(1, edited(), 0), (2, edited(20, 60, 100), 0), (11, edited().replace("t", "u"), 0), (12, edited(20, 60, 100, 130).replace("t", "u"), 0)]
     out = corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 11, 12]
+
+
+def test_components_are_the_same_on_the_driver_and_in_tables(spark):
+    rng = random.Random(8)
+    edges = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(200)} | {(k, k + 1) for k in range(1000, 1040)}
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    roots = {x: x for e in edges for x in e}
+    for _ in roots:
+        for a, b in edges:
+            roots[a] = roots[b] = min(roots[a], roots[b])
+    for few in (len(edges), len(edges) - 1):
+        assert {tuple(r) for r in neardup.components(df, few).collect()} == set(roots.items())
+    assert neardup.components(df.where("a < 0")).count() == 0
